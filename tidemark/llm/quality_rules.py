@@ -131,12 +131,12 @@ RULES = (
     Rule("word_length", "10 * word_chars < 25 * n_words OR word_chars > 14 * n_words", "false"),
     Rule("symbols_by_word", "10 * n_symbols > n_words", "false"),
     Rule("symbols_by_letter", "100 * n_symbols > 8 * n_letters", "false"),
-    Rule("alpha_words", "10 * n_alpha_words < 7 * n_words", "100 * n_alpha_words >= 95 * n_words AND 100 * n_symbols <= n_words"),
+    Rule("alpha_words", "10 * n_alpha_words < 7 * n_words", "100 * n_alpha_words >= 95 * n_words AND 100 * n_symbols <= n_words AND 20 * n_marks <= n_words AND 10 * n_upper <= 3 * n_letters AND 5 * n_repeat_words <= n_words"),
     Rule("upper", "10 * n_upper > 4 * n_letters", "false"),
     Rule("marks", "10 * n_marks > 2 * n_words", "false"),
     Rule("repeats", "100 * n_repeat_words > 30 * n_words", "false"),
     Rule("distinct", "100 * n_distinct < 25 * n_words", "false"),
-    Rule("dup_lines", "10 * n_dup_lines > 3 * n_lines", "false"),
+    Rule("dup_lines", "n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines", "false"),
     Rule("ended_lines", "10 * n_ended_lines < 2 * n_lines", "false"),
 )
 
@@ -181,8 +181,8 @@ def fit(counts: dict[int, int], n_rules: int, rounds: int = 200, believed: float
         good = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
         right = ((sign > 0) * good[:, None] + (sign < 0) * (1 - good)[:, None]).T @ n
         accuracy = np.where(votes > 0, (right + weight * believed * votes) / np.maximum((1 + weight) * votes, 1e-9), believed)
-        accuracy = np.clip(accuracy, 0.55, 0.98)
-        prior = float(np.clip((n @ good + 0.7 * weight * n.sum()) / ((1 + weight) * n.sum()), 0.3, 0.9))
+        accuracy = np.clip(accuracy, 0.7, 0.98)
+        prior = float(np.clip((n @ good + 0.7 * weight * n.sum()) / ((1 + weight) * n.sum()), 0.3, 0.7))
     return Model(prior, tuple(accuracy.tolist()), {int(k): float(p) for k, p in zip(keys, good, strict=True)})
 
 
