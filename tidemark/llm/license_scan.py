@@ -141,15 +141,17 @@ def template_rows(k: int, templates: tuple[tuple[str, str], ...] = TEMPLATES) ->
             yield h, t, at
 
 
-def license_scan(docs: DataFrame, text_col: str = "text", out: str = "__license", k: int = 4, slack: int = 3, least: float = 0.6, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "__license", k: int = 4, slack: int = 3, least: float = 0.6, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """Adds struct ``out``: the base's fields, ``found`` (labels of the method), ``score`` and ``spans``
     (label, first word, end, share of the template covered)."""
     spark = docs.sparkSession
     table = spark.createDataFrame(list(template_rows(k, templates)), "g bigint, t int, tpos int")
     names = spark.createDataFrame([(t, label, len(ascii_words(w))) for t, (label, w) in enumerate(templates)], "t int, label string, size int")
     key, key2 = f"{out}_key", f"{out}_key2"
-    # two hashes of the text stand for the row: equal texts have equal results
-    keyed = docs.withColumns({key: F.xxhash64(F.col(text_col)), key2: F.xxhash64(F.lit(1), F.col(text_col))})
+    # two hashes of id and text stand for the row: equal rows have equal results, and copies under
+    # different ids, however many, are dealt apart
+    own_row = [F.col(f"`{id_col}`"), F.col(f"`{text_col}`")]
+    keyed = docs.withColumns({key: F.xxhash64(*own_row), key2: F.xxhash64(F.lit(1), *own_row)})
     rolled = keyed.select(F.col(key).alias("d"), F.col(key2).alias("d2"), F.posexplode(rolling(F.col(text_col), k)).alias("pos", "g"))
     votes = (
         rolled.join(F.broadcast(table), "g")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidemark.llm import decontaminate, license_scan, line_dedup, piece_dropout, quality_rules, token_files
+from tidemark.llm import decontaminate, jaccard_join, license_scan, line_dedup, piece_dropout, quality_rules, suffix_dedup, token_files, toxicity
 from tidemark.llm.common import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), toxicity.fold(F.col("doc_id")) != 0)
+    score = F.col("score")
+    return toxicity.score(docs, model, out="score").select("doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), "score", (score >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.hits(docs, table(spark, sf_dir, "benchmark"), "text", "h")
@@ -85,6 +92,11 @@ FROM documents d LEFT JOIN digests USING (doc_id)
 """
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.suffix_dedup(docs).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "token-files")
     token_files.write_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
@@ -97,6 +109,11 @@ def op8_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_dropout.encode_docs(docs, model, out="p", keep_ids=False).select("doc_id", "p.variant", "p.n_tokens", "p.ids_crc32", "p.lossless")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.jaccard_groups(docs).select(F.col("id").alias("doc_id"), "class_id", "n_links", "group_id")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return license_scan.license_scan(docs, out="s").select(
@@ -110,10 +127,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op3_toxicity": op3_toxicity,
         "op4_decontaminate": op4_decontaminate,
         "op5_line_dedup": op5_line_dedup,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_token_files": op7_token_files,
         "op8_piece_dropout": op8_piece_dropout,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_license_scan": op10_license_scan,
     }
 
