@@ -1,0 +1,5 @@
+"""The operators."""
+
+from tidemark.operators.catalog import CATALOG, indicator, lookback
+
+__all__ = ["CATALOG", "indicator", "lookback"]

@@ -1,0 +1,5 @@
+"""Indicators over streams."""
+
+from tidemark.streaming.indicators import STATE_STORE, bar_stream, stream_indicators
+
+__all__ = ["STATE_STORE", "bar_stream", "stream_indicators"]
