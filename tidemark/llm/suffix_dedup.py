@@ -216,7 +216,8 @@ def kasai(data: np.ndarray, order: np.ndarray, slot: np.ndarray, cap: int = WIND
         if not live.all():
             i, got, base = i[live], got[live], base[live]
         j = before[i]
-        got = np.where(j < 0, 0, np.maximum(got - 1, 0))
+        # suffixes with ``cap`` bytes in common may stand in any order, and tell nothing of the next
+        got = np.where((j < 0) | (got >= cap), 0, np.maximum(got - 1, 0))
         todo = np.flatnonzero(j >= 0)
         while len(todo):
             x = words[i[todo] + got[todo]] ^ words[np.minimum(j[todo] + got[todo], n + 8)]
@@ -285,15 +286,16 @@ def _to_key_shards(shards: int):  # noqa: ANN202
             many = np.repeat(np.diff(np.append(np.flatnonzero(head), len(key))) > 1, np.diff(np.append(np.flatnonzero(head), len(key))))
             shard = ((key >> U(40)) * U(shards) >> U(24)).astype(np.int64)
             out = []
-            for pick, sure in ((head, False), (many & ~head, True)):
-                s, r, k = shard[pick], row[pick], key[pick]
+            by_row = (np.abs(rk[row]) % shards).astype(np.int64)
+            # each key once to its shard; what is shared within the batch goes back by document
+            for pick, sure, to in ((head, False, shard), (many, True, by_row)):
+                s, r, k = to[pick], row[pick], key[pick]
                 o = np.lexsort((r, s))
                 s, r, k = s[o], r[o], k[o]
                 cuts = [0, *(np.flatnonzero(s[1:] != s[:-1]) + 1).tolist(), len(s)]
                 for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                     if y > x:
                         out.append(pack(int(s[x]), sure, rk, r[x:y], k[x:y]))
-            # the one entry of a key that the batch has twice tells others of it; it is shared itself too
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.bool_()), pa.array([x[2] for x in out], pa.binary())], ["shard", "sure", "data"]
             )
@@ -404,8 +406,7 @@ def _one_shard(texts: list[bytes], ids: np.ndarray, rk: np.ndarray, row: np.ndar
     out = _Found()
     for r, packed in _by_row(*ranges(row[run[gone]], place[gone])):
         out.rows.append((0, None, int(rk[r]), packed))
-    lead = np.zeros(len(run), bool)
-    lead[leader] = True
+    lead = ~gone  # a document's own repeats of a window go together, if another shard has it earlier
     x_run, x_first, x_last = ranges(run[lead], place[lead])
     x_row, x_key = row[x_run], key[x_run]
     shard = ((x_key >> U(40)) * U(shards) >> U(24)).astype(np.int64)
