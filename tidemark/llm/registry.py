@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidemark.llm import decontaminate, jaccard_join, license_scan, line_dedup, piece_dropout, quality_rules, suffix_dedup, token_files, toxicity
+from tidemark.llm import decontaminate, jaccard_join, license_scan, line_dedup, perplexity, piece_dropout, quality_rules, suffix_dedup, token_files, toxicity
 from tidemark.llm.common import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return perplexity.perplexities(docs, table(spark, sf_dir, "labels"), out="m").select("doc_id", "m.n_words", "m.perplexity", "m.threshold", "m.kept")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), toxicity.fold(F.col("doc_id")) != 0)
@@ -127,6 +132,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_perplexity": op2_perplexity,
         "op3_toxicity": op3_toxicity,
         "op4_decontaminate": op4_decontaminate,
         "op5_line_dedup": op5_line_dedup,
