@@ -13,6 +13,9 @@
     matrix products over the shingles that two texts or more have. Pairs are never rows.
 5.  Verified links give the number of links of each class, and components of links the groups.
 
+Joins with what grows with the corpus are sort-merge joins at every size, whose large keys adaptive
+execution can split.
+
 Loss: a pair at exactly the threshold is missed with a chance of 1e-5 or less (7e-6 by the tries, 3e-6 by
 the signature margin); at a similarity of 0.85 both are below 1e-8. No cap is set on partners or nodes.
 
@@ -283,8 +286,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     nodes = reps.select("c", F.posexplode("keys").alias("t", "key"))
     full = written(nodes.groupBy("t", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "jaccard-nodes")
-    members = nodes.join(full, ["t", "key"]).withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
-    dealt = _dealt(members, "nb", "t", "key").select("c", "blk", "g").join(reps.select("c", "sig"), "c")
+    members = nodes.join(full.hint("merge"), ["t", "key"]).withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
+    dealt = _dealt(members, "nb", "t", "key").select("c", "blk", "g").join(reps.select("c", "sig").hint("merge"), "c")
     least = math.floor((level - margin) * TREES * DEPTH)
     edges = dealt.select("g", "blk", "c", "sig").repartition("g").sortWithinPartitions("g").mapInArrow(_near_edges(least), "a binary, b binary")
     comps = written(components(edges).select(F.col("v").alias("c"), F.col("root").alias("comp")), "jaccard-components")
@@ -302,7 +305,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kept = b.take(pa.array(right, pa.int32()))
             yield pa.RecordBatch.from_arrays([kept.column("c"), kept.column("comp"), kept.column("nb"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["c", "comp", "nb", "s"])
 
-    texts = docs.select(F.xxhash64(identity, text).alias("rk"), text.alias("t")).join(picked, "rk")
+    texts = docs.select(F.xxhash64(identity, text).alias("rk"), text.alias("t")).join(picked.hint("merge"), "rk")
     payload = written(texts.mapInArrow(sets, "c binary, comp binary, nb int, s array<bigint>"), "jaccard-sets")
     # rows that are equal bring their set twice
     payload = payload.dropDuplicates(["c"])
