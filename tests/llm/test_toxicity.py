@@ -25,7 +25,7 @@ def corpus(n=900):
 
 def test_held_out_accuracy(spark):
     rows, labels, _ = corpus()
-    d = docs(spark, [*rows, (5000, None), (5001, ""), ("null", "vile " * 5000)])
+    d = docs(spark, [*rows, (5000, None), (5001, ""), ("null", "vile rotten zzslura1 " * 3000)])
     lab = spark.createDataFrame([*labels, (None, 1), (99999, 1), (3, None)], "doc_id long, toxic int")
     model = X.learn(d, lab, X.fold(F.col("doc_id")) != 0)
     got = {r.doc_id: r.toxicity for r in X.score(d, model).collect()}

@@ -34,15 +34,25 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import ascii_words, written
 
 SHORTEST, LONGEST = 4, 8
+#: A feature says that a word or beginning comes at least so many times.
+TIMES = (1, 2, 4)
+
+
+def counted(words: list[bytes], only: frozenset[bytes] | None = None) -> Counter[bytes]:
+    """How often words, and beginnings of words in SHORTEST to LONGEST bytes (marked with a hyphen), come."""
+    out: Counter[bytes] = Counter()
+    for w, n in Counter(words).items():
+        parts = [w] if len(w) <= 24 else []
+        parts += [w[:k] + b"-" for k in range(SHORTEST, min(LONGEST, len(w) - 1) + 1)]
+        for x in parts:
+            if only is None or x in only:
+                out[x] += n
+    return out
 
 
 def features(text: str | None) -> set[bytes]:
-    """Distinct words, and beginnings of words in SHORTEST to LONGEST bytes, marked with a hyphen."""
-    words = set(ascii_words(text.lower())) if text else set()
-    out = {w for w in words if len(w) <= 24}
-    for n in range(SHORTEST, LONGEST + 1):
-        out.update(w[:n] + b"-" for w in words if len(w) > n)
-    return out
+    words = ascii_words(text.lower()) if text else []
+    return {b"%d %s" % (t, x) for x, n in counted(words).items() for t in TIMES if n >= t}
 
 
 @dataclass(frozen=True)
@@ -51,16 +61,16 @@ class Model:
     weights: dict[bytes, float]
 
     def __post_init__(self) -> None:
-        object.__setattr__(self, "gate", frozenset(w.rstrip(b"-")[:SHORTEST] for w in self.weights))
+        names = frozenset(w.partition(b" ")[2] for w in self.weights)
+        object.__setattr__(self, "names", names)
+        object.__setattr__(self, "gate", frozenset(x.rstrip(b"-")[:SHORTEST] for x in names))
 
     def logit(self, text: str | None) -> float:
         if not text or not self.weights:
             return self.bias
-        near = {w for w in ascii_words(text.lower()) if w[:SHORTEST] in self.gate}
-        found = {w for w in near if w in self.weights}
-        for n in range(SHORTEST, LONGEST + 1):
-            found.update(x for w in near if len(w) > n and (x := w[:n] + b"-") in self.weights)
-        return self.bias + sum(self.weights[x] for x in sorted(found))
+        near = [w for w in ascii_words(text.lower()) if w[:SHORTEST] in self.gate]
+        found = counted(near, self.names)
+        return self.bias + sum(self.weights.get(b"%d %s" % (t, x), 0.0) for x in sorted(found) for t in TIMES if found[x] >= t)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -96,7 +106,7 @@ def fold(identity: Column, folds: int = 5) -> Column:
     return F.crc32(identity.cast("string").cast("binary")) % folds
 
 
-def learn(docs: DataFrame, labels: DataFrame, learning: Column | None = None, max_positive: int = 8_000, max_unlabelled: int = 12_000, max_features: int = 400, least_z: float = 6.0) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, learning: Column | None = None, max_positive: int = 8_000, max_unlabelled: int = 12_000, max_features: int = 400, least: float = 14.0) -> Model:
     """``learning``: a condition on doc_id that rows used for learning must meet."""
     learning = F.lit(True) if learning is None else learning
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learning).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -130,11 +140,12 @@ def learn(docs: DataFrame, labels: DataFrame, learning: Column | None = None, ma
     n_p, n_u = sample.agg(F.sum("p"), F.sum("u")).first()
     if not n_p or not n_u:
         return Model(float(np.log(prior / (1 - prior))), {})
-    # z of the difference of two shares
-    both = (F.col("p") + F.col("u")) / F.lit(float(n_p + n_u))
-    z = (F.col("p") / F.lit(float(n_p)) - F.col("u") / F.lit(float(n_u))) / F.sqrt(both * (1 - both + F.lit(1e-9)) * F.lit(1 / n_p + 1 / n_u))
+    # log likelihood ratio of a Poisson count in P against what U leads to expect; it holds for small counts
+    # too, where many features are tried
+    expected = (F.col("u") + 1) * F.lit(n_p / (n_u + 1))
+    ratio = F.when(F.col("p") > expected, F.col("p") * F.log(F.col("p") / expected) - F.col("p") + expected).otherwise(0.0)
     counted = sample.mapInArrow(count, "f binary, p bigint, u bigint").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    chosen = [bytes(r["f"]) for r in counted.where("p >= 5").withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "f").limit(max_features).collect()]
+    chosen = [bytes(r["f"]) for r in counted.withColumn("z", ratio).where(F.col("z") >= least).orderBy(F.desc("z"), "f").limit(max_features).collect()]
     place = {f: k for k, f in enumerate(chosen)}
 
     def found(text: pa.Array) -> pa.Array:
