@@ -24,10 +24,17 @@ class Series:
 
 @dataclass(frozen=True)
 class Options:
-    """``warmup``: what stands where an operator has no value yet, "null" or "nan"."""
+    """``warmup``: what stands where an operator has no value yet, "null" or "nan". ``precision``: "double"
+    or "single" (floats and ints in the results). ``check_nan``: refuse inputs with NaN. ``strict``: refuse
+    series that are too short for an operator. The last two each read the input once more."""
 
     warmup: str = "null"
+    precision: str = "double"
+    check_nan: bool = False
+    strict: bool = False
 
     def __post_init__(self) -> None:
         if self.warmup not in ("null", "nan"):
             raise ValueError("warmup is 'null' or 'nan'")
+        if self.precision not in ("double", "single"):
+            raise ValueError("precision is 'double' or 'single'")

@@ -26,6 +26,7 @@ def with_indicators(df: DataFrame, indicators: Iterable[Indicator], series: Seri
     if clash:
         raise ValueError(f"columns {', '.join(sorted(clash))} come twice; give the indicators other prefixes")
     inputs = {i.prefix: {r: series.column(c) for r, c in i.inputs.items()} for i in indicators}
+    _check(df, indicators, inputs, series, options)
     steps = expressions.Steps(series)
     outputs = {}
     for i in indicators:
@@ -51,9 +52,25 @@ def with_indicators(df: DataFrame, indicators: Iterable[Indicator], series: Seri
     if options.warmup == "nan":
         doubles = {n for i in indicators for n, t in i.columns() if t == "double"}
         out = out.withColumns({n: F.coalesce(n, F.lit(float("nan"))) for n in doubles})
+    if options.precision == "single":
+        narrow = {"double": "float", "bigint": "int"}
+        out = out.withColumns({n: F.col(n).cast(narrow[t]) for i in indicators for n, t in i.columns() if t in narrow})
     return out
 
 
+def _check(df: DataFrame, indicators: list[Indicator], inputs: dict[str, dict[str, str]], series: Series, options: Options) -> None:
+    if options.check_nan:
+        columns = sorted({c for cols in inputs.values() for c in cols.values()})
+        found = df.agg(*[F.count_if(F.isnan(F.col(f"`{c}`").cast("double"))).alias(c) for c in columns]).first()
+        if bad := [c for c in columns if found[c]]:
+            raise ValueError(f"NaN in {', '.join(bad)}")
+    if options.strict and indicators:
+        most = max(i.operator.lookback(**i.params) for i in indicators)
+        short = df.groupBy(*series.keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") <= most).limit(1).collect()
+        if short:
+            raise ValueError(f"a series has {short[0]['__n']} rows; {most + 1} are needed")
+
+
 def as_floats(column: pa.Array) -> np.ndarray:
     if not pa.types.is_floating(column.type):
         column = column.cast(pa.float64(), safe=False)
