@@ -26,7 +26,9 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAGIC, VERSION = b"TRNS", 1
-SCALE_BITS, LANES, BLOCK_TOKENS = 20, 32, 1 << 14
+SCALE_BITS, LANES, BLOCK_TOKENS = 18, 32, 1 << 14
 LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<4sHBHIIIQI")
 CHECKPOINT = np.dtype([("token", "<u8"), ("word", "<u8"), ("words", "<u4"), ("crc", "<u4")])
@@ -56,13 +58,17 @@ def scaled(counts: np.ndarray, bits: int = SCALE_BITS) -> np.ndarray:
 
 def encode(tokens: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, lanes: int = LANES, block: int = BLOCK_TOKENS, bits: int = SCALE_BITS) -> bytes:
     """One frame. ``tokens``: those of all its documents, one after the other."""
-    symbols, ranks, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    counts = np.bincount(tokens) if len(tokens) else np.zeros(0, np.int64)
+    symbols = np.flatnonzero(counts)
+    place = np.zeros(len(counts), np.int32)
+    place[symbols] = np.arange(len(symbols))
+    ranks, counts = place[tokens], counts[symbols]
     freq = scaled(counts, bits) if len(symbols) else np.zeros(0, np.uint64)
     first = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64) if len(symbols) else freq
     n = len(tokens)
     steps = max(1, -(-min(block, n) // lanes))
     blocks = -(-n // (steps * lanes))
-    padded = np.full(blocks * steps * lanes, int(np.argmax(counts)) if n else 0, np.int64)
+    padded = np.full(blocks * steps * lanes, int(np.argmax(counts)) if n else 0, np.int32)
     padded[:n] = ranks
     by_step = padded.reshape(blocks, steps, lanes).transpose(1, 0, 2)
     state = np.full((blocks, lanes), LOW, np.uint64)
@@ -160,26 +166,74 @@ class WordCached:
     library whose pre-tokeniser never joins what a space or line feed parts, and drops both; so the
     ids of a text are those of its pieces between them, and the library sees each piece once."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    #: Marks that make one token's worth after a word; those of special tokens and contractions are left out.
+    STOPS = ".,!?:;%$#&*"
+
+    def __init__(self, path: str, most: int = 1_400_000):
         from tokenizers import Tokenizer
 
+        if sys.byteorder != "little":
+            raise RuntimeError("ids are kept as the machine has them, and the format is little-endian")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary don't fit 2 bytes")
         self.most, self.known = most, {}
+        # ids that end a word, if every byte has one that does and one that doesn't
+        words = self.library.get_vocab()
+        suffix = "</w>"
+        whole = all(f"{c}{suffix}" in words for c in words if len(c) == 1)
+        self.is_end = None
+        if whole and any(w.endswith(suffix) for w in words):
+            self.is_end = np.zeros(1 << 16, bool)
+            self.is_end[[i for w, i in words.items() if w.endswith(suffix)]] = True
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        pieces = [x.replace("\n", " ").split(" ") for x in texts]
         if len(self.known) > self.most:
             self.known = {}
-        known = self.known
-        new = list({p for ps in pieces for p in ps if p not in known})
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
+        get = self.known.get
+        found = []
+        new: set[str] = set()
+        for x in texts:
+            pieces = x.replace("\n", " ").split(" ")
+            ids = list(map(get, pieces))
+            missed = None in ids
+            if missed:
+                new.update([p for p, i in zip(pieces, ids, strict=True) if i is None])
+            found.append(pieces if missed else b"".join(ids))
+        self._learn(new)
+        get = self.known.__getitem__
+        return [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in found]
+
+    def _learn(self, new: set[str]) -> None:
+        """Pieces that are words, marks, or words and marks are encoded as one text, whose ids are parted
+        again at the ends of words; others one by one."""
+        plain: list[str] = []
+        ends: list[int] = []
+        odd: list[str] = []
+        for p in new:
+            word = p.rstrip(self.STOPS)
+            if p and (not word or word.isalpha()) and max(p) < "\u0100":
+                plain.append(p)
+                ends.append((len(word) > 0) + (len(word) < len(p)))
+            else:
+                odd.append(p)
+        if self.is_end is None:
+            odd, plain = odd + plain, []
+        for k in range(0, len(plain), 20_000):
+            part, count = plain[k : k + 20_000], np.cumsum(ends[k : k + 20_000])
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u2")
+            stops = np.flatnonzero(self.is_end[ids]) + 1
+            if len(stops) != count[-1]:
+                odd += part
+                continue
+            cuts = [0, *(2 * stops[count - 1]).tolist()]
+            data = ids.tobytes()
+            self.known.update(zip(part, [data[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+        for k in range(0, len(odd), 20_000):
+            part = odd[k : k + 20_000]
             for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u2").tobytes()
-        return [b"".join(map(known.__getitem__, ps)) for ps in pieces]
+                self.known[p] = array("H", e.ids).tobytes()
 
 
 _tokenisers: dict[str, WordCached] = {}
