@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import encoded, written
+from tidemark.llm.common import discard, encoded, written
 from tidemark.llm.jaccard_join import whole_groups
 
 BITS = 22
@@ -97,31 +97,43 @@ class Model:
     unigram: np.ndarray
     local: np.ndarray
 
-    def base(self, s: np.ndarray) -> float:
-        """What a sequence has without known bigrams."""
-        inner = s[1:-1].astype(np.int64)
-        ends = np.log(self.unigram[END]) + self.local[BEGIN] - np.log(self.unigram[BEGIN])
-        return float(self.local[inner].sum(dtype=np.float64) + ends)
+    def ends(self) -> float:
+        """What the first context and the last prediction bring to any sequence."""
+        return float(np.log(self.unigram[END]) + self.local[BEGIN] - np.log(self.unigram[BEGIN]))
 
     def gain(self, key: np.ndarray, count: np.ndarray) -> np.ndarray:
-        v, w = (key >> np.uint64(BITS)).astype(np.int64), (key & MASK).astype(np.int64)
-        return np.log1p((count - self.discount[np.minimum(count, 3)]) / (self.rest[v] * self.unigram[w]))
+        return gains(self.discount, self.unigram, self.rest[(key >> np.uint64(BITS)).astype(np.int64)], key, count)
 
 
-def model_of(contexts: np.ndarray, continuations: np.ndarray, counts: np.ndarray) -> Model:
+def gains(discount: np.ndarray, unigram: np.ndarray, rest: np.ndarray, key: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """What known bigrams add to a log probability; ``rest``: S of their contexts."""
+    return np.log1p((count - discount[np.minimum(count, 3)]) / (rest * unigram[(key & MASK).astype(np.int64)]))
+
+
+def rests(discount: np.ndarray, key: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """S of each bigram's context, of sorted bigrams that hold whole contexts."""
+    v = key >> np.uint64(BITS)
+    first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+    total = np.add.reduceat(discount[np.minimum(count, 3)], first)
+    return np.repeat(total, np.diff(np.append(first, len(v))))
+
+
+def model_of(contexts: list[np.ndarray], continuations: np.ndarray, counts: np.ndarray) -> Model:
     """contexts: T, N1, N2, N3 by class; continuations: by class; counts: bigrams of count 1 to 4."""
     d = discounts(counts)
-    total, n1, n2, n3 = contexts.astype(np.float64)
-    rest = d[1] * n1 + d[2] * n2 + d[3] * n3
-    k = continuations.astype(np.int64)
+    rest = np.zeros(CLASSES, np.float32)
+    for by, n in zip(d[1:], contexts[1:], strict=True):
+        rest += np.float32(by) * n
+    seen = contexts[0] > 0
+    k = continuations
     dk = discounts(np.array([(k == j).sum() for j in (1, 2, 3, 4)]))
-    every = max(int(k.sum()), 1)
+    every = max(int(k.sum(dtype=np.int64)), 1)
     uniform = (dk[1] * (k == 1).sum() + dk[2] * (k == 2).sum() + dk[3] * (k >= 3).sum()) / every / CLASSES if k.any() else 1 / CLASSES
-    unigram = np.maximum(k - dk[np.minimum(k, 3)], 0) / every + uniform
-    back = np.zeros(CLASSES)
-    seen = total > 0
-    back[seen] = np.log(rest[seen] / total[seen])
-    return Model(d, np.where(seen, rest, 1.0).astype(np.float32), unigram.astype(np.float32), (np.log(unigram) + back).astype(np.float32))
+    unigram = (np.maximum(k - dk.astype(np.float32)[np.minimum(k, 3)], 0) / np.float32(every)).astype(np.float32) + np.float32(uniform)
+    local = np.log(unigram)
+    local[seen] += np.log(rest[seen] / contexts[0][seen].astype(np.float32))
+    rest[~seen] = 1
+    return Model(d, rest, unigram, local)
 
 
 def _cuts(x: np.ndarray) -> list[tuple[int, int]]:
@@ -204,25 +216,27 @@ def train(trusted: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]
                 yield _batch([("shard", pa.int64()), ("k", pa.binary())], [(int(shard[x]), total.astype("<u4").tobytes())])
 
     # arrays of CLASSES numbers, whatever the corpus
-    continuations = np.zeros(CLASSES, np.int64)
+    continuations = np.zeros(CLASSES, np.uint32)
     sums = merged.where("kind = 1").select("shard", "keys", "counts").repartition("shard").sortWithinPartitions("shard").mapInArrow(add, "shard bigint, k binary")
     for r in sums.collect():
         at = r["shard"] * (CLASSES // RANGES)
         continuations[at : at + CLASSES // RANGES] = np.frombuffer(r["k"], "<u4")
-    contexts, counts = np.zeros((4, CLASSES), np.int64), np.zeros(4, np.int64)
+    contexts, counts = [np.zeros(CLASSES, t) for t in (np.uint64, np.uint32, np.uint32, np.uint32)], np.zeros(4, np.int64)
     for r in merged.where("kind = 0").select("more").toLocalIterator():
         counts += np.frombuffer(r["more"], "<u8", 4).astype(np.int64)
         stats = np.frombuffer(r["more"], "<u4", -1, 32).reshape(5, -1)
-        contexts[:, stats[0]] = stats[1:]
+        for own, part in zip(contexts, stats[1:], strict=True):
+            own[stats[0]] = part
     return model_of(contexts, continuations, counts), merged.where("kind = 0").select("shard", "keys", "counts")
 
 
-def log_likelihoods(rows: DataFrame, model: Model, known: DataFrame, passes: int = 4) -> DataFrame:
+def log_likelihoods(rows: DataFrame, model: Model, known: DataFrame, passes: int = 2) -> DataFrame:
     """rk, gain: what known bigrams add, by document key. ``rows``: rk, t."""
     spark = rows.sparkSession
     bits = _shard_bits(spark)
     down = np.uint64(2 * BITS - bits)
-    shared = spark.sparkContext.broadcast(model)
+    # one array of CLASSES numbers; S comes from a shard's own bigrams, which hold whole contexts
+    shared = spark.sparkContext.broadcast((model.discount, model.unigram))
     passes = min(passes, 1 << bits)
 
     def ask(number: int):  # noqa: ANN202
@@ -251,21 +265,22 @@ def log_likelihoods(rows: DataFrame, model: Model, known: DataFrame, passes: int
         return run
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        at, table, counts = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        discount, unigram = shared.value
+        at, table, counts, rest = None, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
         for b in batches:
             for k in range(b.num_rows):
                 shard, kind = b.column("shard")[k].as_py(), b.column("kind")[k].as_py()
                 key, extra = unpacked(b.column("keys")[k].as_py()), b.column("counts")[k].as_py()
                 if kind == 0:
                     at, table, counts = shard, key, np.frombuffer(extra, "<u4").astype(np.int64)
+                    rest = rests(discount, table, counts)
                     continue
                 if shard != at or not len(table):
                     continue
                 n = int(np.frombuffer(extra, "<u4", 1)[0])
                 rk, sizes = np.frombuffer(extra, "<i8", n, 4), np.frombuffer(extra, "<u4", n, 4 + 8 * n)
                 where = np.minimum(np.searchsorted(table, key), len(table) - 1)
-                gain = np.where(table[where] == key, m.gain(key, counts[where]), 0.0)
+                gain = np.where(table[where] == key, gains(discount, unigram, rest[where], key, counts[where]), 0.0)
                 sums = np.add.reduceat(gain, np.cumsum(np.append(0, sizes[:-1])))
                 yield pa.RecordBatch.from_arrays([pa.array(rk), pa.array(sums)], ["rk", "gain"])
 
@@ -277,40 +292,42 @@ def log_likelihoods(rows: DataFrame, model: Model, known: DataFrame, passes: int
         answered = mine.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(answer, "rk bigint, gain double")
         part = written(answered.groupBy("rk").agg(F.sum("gain").alias("gain")), "perplexity-gains")
         parts = part if parts is None else parts.unionByName(part)
+    shared.destroy()
     return parts.groupBy("rk").agg(F.sum("gain").alias("gain"))
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, text_col: str = "text", out: str = "__lm", quantile: float = 0.995, folds: int = 5, passes: int = 4) -> DataFrame:
+def perplexities(docs: DataFrame, labels: DataFrame, text_col: str = "text", out: str = "__lm", quantile: float = 0.995, folds: int = 5, passes: int = 2) -> DataFrame:
     """Adds struct ``out``: n_words, perplexity, threshold (of the language) and kept."""
     spark = docs.sparkSession
     text = F.col(f"`{text_col}`")
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     held: Column = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0
-    trusted = written(docs.select("doc_id", text.alias("t")).join(good.where(~held), "doc_id").select("t"), "perplexity-trusted")
+    trusted = written(docs.select("doc_id", text.alias("t")).join(good.where(~held).hint("merge"), "doc_id").select("t"), "perplexity-trusted")
     model, known = train(trusted, "t")
-    shared = spark.sparkContext.broadcast(model)
-
-    def local(column: pa.Array) -> pa.Array:
-        m = shared.value
-        seqs = [sequence(x.as_py()) for x in column]
-        n = [max(len(s) - 2, 0) for s in seqs]
-        ll = [m.base(s) if len(s) else None for s in seqs]
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ll, pa.float64())], names=["n", "ll"])
-
+    discard(trusted)
     keyed = docs.withColumn(f"{out}_rk", F.xxhash64("doc_id", text))
     # rows that are equal would add their bigrams twice: their sums are divided by their number
     gains = log_likelihoods(keyed.select(F.col(f"{out}_rk").alias("rk"), text.alias("t")), model, known, passes)
+    ends, shared = model.ends(), spark.sparkContext.broadcast(model.local)
+
+    def local(column: pa.Array) -> pa.Array:
+        """Words, and what a sequence has without known bigrams."""
+        values = shared.value
+        inner = [sequence(x.as_py())[1:-1].astype(np.int64) for x in column]
+        ll = [float(values[s].sum(dtype=np.float64)) + ends if len(s) else None for s in inner]
+        return pa.StructArray.from_arrays([pa.array([len(s) for s in inner], pa.int64()), pa.array(ll, pa.float64())], names=["n", "ll"])
+
     own = keyed.select("doc_id", "lang", F.col(f"{out}_rk").alias("rk"), F.arrow_udf(local, "struct<n:bigint,ll:double>")(text).alias("b"))
     own = own.groupBy("rk").agg(F.first("doc_id").alias("doc_id"), F.first("lang").alias("lang"), F.first("b").alias("b"), F.count(F.lit(1)).alias("rows"))
     nats = F.col("b.ll") + F.coalesce("gain", F.lit(0.0)) / F.col("rows")
-    scored = written(own.join(gains, "rk", "left").select("rk", "doc_id", "lang", F.col("b.n").alias("n"), F.exp(-nats / (F.col("b.n") + 1)).alias("ppl")), "perplexity-scored")
+    scored = written(own.join(gains.hint("merge"), "rk", "left").select("rk", "doc_id", "lang", F.col("b.n").alias("n"), F.exp(-nats / (F.col("b.n") + 1)).alias("ppl")), "perplexity-scored")
     calibration = scored.where(held & F.col("ppl").isNotNull()).join(good, "doc_id")
     # a row for each language
     by_lang = calibration.groupBy(F.col("lang").alias("l")).agg(F.percentile_approx("ppl", quantile, 10_000).alias("q"))
     overall = calibration.agg(F.percentile_approx("ppl", quantile, 10_000).alias("q")).first()["q"]
     limit = F.coalesce("q", F.lit(overall).cast("double"))
-    judged = scored.join(F.broadcast(by_lang), F.col("lang").eqNullSafe(F.col("l")), "left").select(
+    judged = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").select(
         F.col("rk").alias(f"{out}_rk"),
         F.struct(F.col("n").alias("n_words"), F.col("ppl").alias("perplexity"), limit.alias("threshold"), F.coalesce(F.col("ppl") <= limit, F.col("ppl").isNotNull()).alias("kept")).alias(out),
     )
-    return keyed.join(judged, f"{out}_rk").drop(f"{out}_rk")
+    return keyed.join(judged.hint("merge"), f"{out}_rk").drop(f"{out}_rk")
