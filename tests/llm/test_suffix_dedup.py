@@ -87,10 +87,17 @@ def test_anchors_of_equal_windows_agree_across_pieces(monkeypatch):
     assert len(whole) == len(set(whole)) and all(pieces[w] == k for w, k in whole.items())
 
 
+def test_keys_spread_over_shards():
+    _, key, _, _ = S.doc_anchors([prose(20_000, 3, 100_000).encode()])
+    shard = ((key >> np.uint64(40)) * np.uint64(16) >> np.uint64(24)).astype(int)
+    assert np.bincount(shard, minlength=16).max() < 2 * len(key) / 16
+
+
 def test_equal_hashes_of_different_windows_are_told_apart(monkeypatch):
     monkeypatch.setattr(S, "_roll", lambda data, width: np.zeros(len(data) - width + 1, np.uint64))
     a, b = b"a" * 50, b"b" * 50
     meta = np.array([[1, 11, 0, 0], [2, 12, 0, 0], [3, 13, 5, 5]])
+    assert S.imported(S.exported(np.array([7, 9]), np.array([1, 2]), np.array([1, 0]), np.array([3, 0]), np.array([5, 0]), [a, b + b]))[0].tolist() == [[9, 2, 3, 5], [7, 1, 0, 0]]
     got = S.merged(meta, np.frombuffer(a + b + b, np.uint8)).to_pydict()
     assert got["rk"] == [13] and np.frombuffer(got["data"][0], "<i4").tolist() == [5, 5]
 

@@ -36,12 +36,38 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: While a table is written: shuffle files go as soon as the write is done, and Python workers get no more
+#: than so many rows at once, as rows hold texts.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: what follows starts from files, which outlive executors."""
+    """The rows as a table in the shared folder: what follows starts from files, which outlive executors,
+    and the shuffles that led to them are no longer needed."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, str(min(int(v), int(before[k]))) if v.isdigit() and before[k] else v)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that ``written`` has made, once nothing will read them again."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(texts: Iterable[str | None], most_bytes: int) -> Iterator[list[str | None]]:

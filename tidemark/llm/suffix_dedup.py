@@ -32,16 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import encoded, written
+from tidemark.llm.common import discard, encoded, written
 from tidemark.llm.jaccard_join import whole_groups
 
 WINDOW, SEED = 50, 20
 SEEDS = WINDOW - SEED + 1
-CHUNK = 1 << 20
-SHARD_BYTES = 2 << 20
+CHUNK = 1 << 17
+SLICE_BYTES = 4 << 20
+SHARD_BYTES = 1 << 19
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -114,7 +116,11 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     # a run ends before the next one, or at its document's last window
     last = np.append(first[1:] - 1, n - 1)
     limit = ends[np.searchsorted(ends, first, side="right")] - WINDOW
-    return v[at[first]], first.astype(np.int64), np.minimum(last, limit).astype(np.int64)
+    # least hashes are small numbers: mixed again, keys spread over all shards
+    key = v[at[first]] * U(0x9E3779B97F4A7C15)
+    key ^= key >> U(32)
+    key *= U(0xD6E8FEB86659FD93)
+    return key ^ (key >> U(29)), first.astype(np.int64), np.minimum(last, limit).astype(np.int64)
 
 
 def doc_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -152,24 +158,18 @@ def doc_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return tuple(map(np.concatenate, (rows, keys, firsts, lasts)))
 
 
-def big_words(data: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each place on as one number whose order is theirs; zeros follow the end."""
-    n = len(data)
-    raw = data.tobytes() + bytes(16)
-    out = np.empty(n + 8, U)
-    for k in range(8):
-        part = np.frombuffer(raw, ">u8", (len(raw) - k) // 8, k)
-        size = len(out[k::8])
-        out[k::8] = part[:size]
-    return out[:n]
+def words_at(data: np.ndarray, order: str = "<") -> np.ndarray:
+    """The 8 bytes from each place on as one number, zeros following the end: a view, no copy of its own."""
+    raw = data.tobytes() + bytes(WINDOW + 24)
+    return np.ndarray((len(data) + WINDOW + 16,), f"{order}u8", raw, strides=(1,))
 
 
 def suffix_array(data: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in the order of their first ``depth`` bytes or more, and each one's slot in it."""
     n = len(data)
-    words = big_words(data)
-    order = np.argsort(words)
-    s = words[order]
+    s = words_at(data, ">")[:n].astype(U)
+    order = np.argsort(s)
+    s = s[order]
     fresh = np.empty(n, bool)
     fresh[:1] = True
     np.not_equal(s[1:], s[:-1], out=fresh[1:])
@@ -194,40 +194,41 @@ def suffix_array(data: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.
         rank[at] = np.repeat(slots[head], sizes) + 1
         slots = slots[np.repeat(sizes > 1, sizes)]
         h *= 2
+    if len(slots):  # what is equal so far stands by place, so that a common prefix carries over
+        order[slots] = np.sort(rank[order[slots]] * n + order[slots]) % n
     slot = np.empty(n, np.int64)
     slot[order] = np.arange(n)
     return order, slot
 
 
-def kasai(data: np.ndarray, order: np.ndarray, slot: np.ndarray, cap: int = WINDOW, strips: int = 2048) -> np.ndarray:
+def kasai(data: np.ndarray, order: np.ndarray, slot: np.ndarray, cap: int = WINDOW, strips: int = 16384) -> np.ndarray:
     """Bytes, at most ``cap``, that each suffix (by place) has in common with the one before it in the
     order. Strips of the text advance together; within a strip the next value is at least one less."""
     n = len(data)
-    words = np.append(big_words(data), np.zeros(cap + 16, U))
+    words = words_at(data)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     length = -(-n // strips)
     out = np.zeros(n, np.int32)
     got = np.zeros(-(-n // length), np.int64)
-    base = np.arange(len(got)) * length
+    base, last = np.arange(len(got)) * length, np.full(len(got), -2)
     for t in range(length):
         i = base + t
         live = i < n
         if not live.all():
-            i, got, base = i[live], got[live], base[live]
+            i, got, base, last = i[live], got[live], base[live], last[live]
         j = before[i]
-        # suffixes with ``cap`` bytes in common may stand in any order, and tell nothing of the next
-        got = np.where((j < 0) | (got >= cap), 0, np.maximum(got - 1, 0))
+        # beyond ``cap`` the order is by place, and tells nothing of the next but where both move on
+        got = np.where((j < 0) | ((got >= cap) & (j != last + 1)), 0, np.maximum(got - 1, 0))
+        last = j
         todo = np.flatnonzero(j >= 0)
         while len(todo):
             x = words[i[todo] + got[todo]] ^ words[np.minimum(j[todo] + got[todo], n + 8)]
             same = np.full(len(todo), 8)
             differ = x != 0
-            # leading zero bytes of the difference, from its highest bit
-            bits = np.frexp((x[differ] >> U(11)).astype(np.float64))[1] + 11
-            low = x[differ] < U(1 << 11)
-            bits[low] = np.frexp(x[differ][low].astype(np.float64))[1]
-            same[differ] = (64 - bits) // 8
+            # equal bytes before the first difference: its lowest bit tells
+            low = x[differ] & (~x[differ] + U(1))
+            same[differ] = (np.frexp(low.astype(np.float64))[1] - 1) // 8
             got[todo] += same
             todo = todo[(same == 8) & (got[todo] < cap)]
         # the text's end cuts a common prefix short
@@ -238,9 +239,11 @@ def kasai(data: np.ndarray, order: np.ndarray, slot: np.ndarray, cap: int = WIND
 
 def window_classes(data: np.ndarray) -> np.ndarray:
     """A number for each place: equal if, and only if, the WINDOW bytes from there are equal."""
-    order, slot = suffix_array(data)
-    common = kasai(data, order, slot)
-    return np.cumsum(common[order] < WINDOW)[slot]
+    # a tail of bytes that no text has keeps short suffixes from standing between equal windows
+    padded = np.concatenate([data, np.full(72, 255, np.uint8)])
+    order, slot = suffix_array(padded)
+    common = kasai(padded, order, slot)
+    return np.cumsum(common[order] < WINDOW)[slot][: len(data)]
 
 
 def ranges(row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -263,6 +266,21 @@ def _by_row(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tu
         yield int(row[a]), pairs[a:b].tobytes()
 
 
+def sliced(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Consecutive rows with their texts, about ``most`` bytes at a time."""
+    for b in batches:
+        texts: list[bytes] = []
+        size = start = 0
+        for k in range(b.num_rows):
+            texts.append(encoded(b.column("t")[k].as_py()))
+            size += len(texts[-1])
+            if size >= most:
+                yield b.slice(start, k + 1 - start), texts
+                texts, size, start = [], 0, k + 1
+        if texts:
+            yield b.slice(start), texts
+
+
 def _to_key_shards(shards: int):  # noqa: ANN202
     """shard, sure (the keys are known to be shared), data: rows u4 | row keys i8 | entries by row u4 | keys u8."""
 
@@ -272,18 +290,24 @@ def _to_key_shards(shards: int):  # noqa: ANN202
         return shard, sure, np.uint32(len(head)).tobytes() + rk[row[head]].tobytes() + sizes.astype("<u4").tobytes() + key.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b, texts in sliced(batches):
             rk = b.column("rk").to_numpy().astype("<i8")
-            row, key, _, _ = doc_anchors([encoded(x.as_py()) for x in b.column("t")])
+            row, key, _, _ = doc_anchors(texts)
             if not len(row):
                 continue
             # sorted by key, then row: a key once for each row
-            o = np.lexsort((row, key))
+            o = np.argsort(key)
             row, key = row[o], key[o]
-            once = np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]))
-            row, key = row[once], key[once]
+            again = np.flatnonzero(key[1:] == key[:-1])
+            if len(again):
+                again = np.union1d(again, again + 1)
+                o = np.lexsort((row[again], key[again]))
+                row[again] = row[again][o]
+                once = np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]))
+                row, key = row[once], key[once]
             head = np.append(True, key[1:] != key[:-1])
-            many = np.repeat(np.diff(np.append(np.flatnonzero(head), len(key))) > 1, np.diff(np.append(np.flatnonzero(head), len(key))))
+            sizes = np.diff(np.append(np.flatnonzero(head), len(key)))
+            many = np.repeat(sizes > 1, sizes)
             shard = ((key >> U(40)) * U(shards) >> U(24)).astype(np.int64)
             out = []
             by_row = (np.abs(rk[row]) % shards).astype(np.int64)
@@ -338,10 +362,10 @@ FOUND_DDL = "kind int, shard bigint, rk bigint, data binary"
 
 
 class _Found:
-    """Rows for the next step: kind 0, windows of a document to remove; kind 1, exports to a key shard."""
+    """Rows for the next step: kind 0, windows of a document to remove; kind 1, windows to compare by key."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[int, int | None, int | None, bytes]] = []
+        self.rows: list[tuple[int, int, int | None, bytes]] = []
 
     def batch(self) -> pa.RecordBatch:
         cols = list(zip(*self.rows, strict=True)) if self.rows else [[]] * 4
@@ -350,13 +374,31 @@ class _Found:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["kind", "shard", "rk", "data"])
 
 
+def exported(ids: np.ndarray, rk: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray, texts: list[bytes]) -> bytes:
+    """Runs of windows with their bytes: runs u4 | rows u4 | id i8, rk i8 of each row | row u4, first window
+    u4, windows u4 of each run | bytes of all runs, zstd."""
+    rows, own = np.unique(row, return_inverse=True)
+    body = b"".join(texts[r][f : z + WINDOW] for r, f, z in zip(row.tolist(), first.tolist(), last.tolist(), strict=True))
+    head = np.array([len(row), len(rows)], "<u4").tobytes() + np.stack([ids[rows], rk[rows]]).astype("<i8").tobytes()
+    return head + np.stack([own, first, last - first + 1]).astype("<u4").tobytes() + zstandard.ZstdCompressor(1).compress(body)
+
+
+def imported(data: bytes) -> tuple[np.ndarray, bytes]:
+    """id, rk, first window and last window of each run; the bytes."""
+    n, m = np.frombuffer(data, "<u4", 2).tolist()
+    who = np.frombuffer(data, "<i8", 2 * m, 8).reshape(2, m)
+    own, first, size = np.frombuffer(data, "<u4", 3 * n, 8 + 16 * m).reshape(3, n).astype(np.int64)
+    body = zstandard.ZstdDecompressor().decompress(data[8 + 16 * m + 12 * n :])
+    return np.stack([*who[:, own], first, first + size - 1], axis=1), body
+
+
 def _sort_shards(shards: int, shard_bytes: int = SHARD_BYTES):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b, unsorted in sliced(batches, 8 * shard_bytes):
             ids = b.column("id").to_numpy()
             by_id = np.argsort(ids, kind="stable")  # so that the first of equal windows has the smallest id
             ids, rk = ids[by_id], b.column("rk").to_numpy()[by_id]
-            texts = [encoded(b.column("t")[int(k)].as_py()) for k in by_id]
+            texts = [unsorted[int(k)] for k in by_id]
             shared = [b.column("keys")[int(k)].as_py() for k in by_id]
             at = 0
             while at < len(texts):  # rows whose text makes some shards together
@@ -400,12 +442,12 @@ def _one_shard(texts: list[bytes], ids: np.ndarray, rk: np.ndarray, row: np.ndar
     place = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
     own = offset[stretch[run]] + place - first[starts][stretch[run]]
     label = window_classes(data)[own]
-    _, leader, inverse = np.unique(label, return_index=True, return_inverse=True)
-    least = ids[row[run[leader]]]
-    gone = ids[row[run]] > least[inverse]
+    least = np.empty(int(label.max()) + 1, np.int64)
+    least[label[::-1]] = ids[row[run]][::-1]  # the first written last
+    gone = ids[row[run]] > least[label]
     out = _Found()
     for r, packed in _by_row(*ranges(row[run[gone]], place[gone])):
-        out.rows.append((0, None, int(rk[r]), packed))
+        out.rows.append((0, abs(int(rk[r])) % shards, int(rk[r]), packed))
     lead = ~gone  # a document's own repeats of a window go together, if another shard has it earlier
     x_run, x_first, x_last = ranges(run[lead], place[lead])
     x_row, x_key = row[x_run], key[x_run]
@@ -414,62 +456,59 @@ def _one_shard(texts: list[bytes], ids: np.ndarray, rk: np.ndarray, row: np.ndar
     cuts = [0, *(np.flatnonzero(shard[order][1:] != shard[order][:-1]) + 1).tolist(), len(order)] if len(order) else [0]
     for a, z in zip(cuts[:-1], cuts[1:], strict=True):
         o = order[a:z]
-        meta = np.stack([ids[x_row[o]], rk[x_row[o]], x_first[o], x_last[o]], axis=1).astype("<i8")
-        body = b"".join(texts[r][f : z2 + WINDOW] for r, f, z2 in zip(x_row[o].tolist(), x_first[o].tolist(), x_last[o].tolist(), strict=True))
-        out.rows.append((1, int(shard[o[0]]), None, np.uint32(len(o)).tobytes() + meta.tobytes() + body))
+        out.rows.append((1, int(shard[o[0]]), None, exported(ids, rk, x_row[o], x_first[o], x_last[o], texts)))
     return out.batch()
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exports of all shards, by key: windows that a document with a smaller id has."""
+    """rk, data: windows of a document to remove, found within a shard (passed on) or by comparing the
+    windows that all shards have under the same keys."""
     for table in whole_groups(batches, "shard"):
-        shard = table.column("shard").to_numpy()
+        shard, kind = table.column("shard").to_numpy(), table.column("kind").to_numpy()
+        known = table.filter(pa.array(kind == 0))
+        yield from known.select(["rk", "data"]).to_batches()
         cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
         for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-            metas, bodies = [], []
-            for k in range(x, y):
-                data = table.column("data")[k].as_py()
-                n = int(np.frombuffer(data, "<u4", 1)[0])
-                metas.append(np.frombuffer(data, "<i8", 4 * n, 4).reshape(n, 4))
-                bodies.append(data[4 + 32 * n :])
-            yield merged(np.concatenate(metas), np.frombuffer(b"".join(bodies), np.uint8))
+            parts = [imported(table.column("data")[k].as_py()) for k in range(x, y) if kind[k] == 1]
+            if parts:
+                yield merged(np.concatenate([m for m, _ in parts]), np.frombuffer(b"".join(d for _, d in parts), np.uint8))
 
 
 def merged(meta: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
-    ids, rk, first, last = meta.T
-    size = last - first + 1
+    """``meta``: id, rk, first and last window of runs whose bytes follow one another in ``data``."""
+    size = meta[:, 3] - meta[:, 2] + 1
     offset = np.cumsum(size + WINDOW - 1) - (size + WINDOW - 1)
+    by_id = np.argsort(meta[:, 0], kind="stable")  # so that the first of equal windows has the smallest id
+    ids, rk, first, _ = meta[by_id].T
+    size, offset = size[by_id], offset[by_id]
     run = np.repeat(np.arange(len(meta)), size)
     step = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
     at = offset[run] + step
-    own = np.empty(len(at), U)
-    for k in range(0, len(data), CHUNK):  # hashes of windows, piece by piece
-        lo, hi = np.searchsorted(at, [k, k + CHUNK])
-        if hi > lo:
-            own[lo:hi] = _roll(data[k : k + CHUNK + WINDOW - 1], WINDOW)[at[lo:hi] - k]
-    by_id = np.argsort(ids[run], kind="stable")
-    table, leader = np.unique(own[by_id], return_index=True)
-    leader = by_id[leader]  # of each hash the window with the smallest id
-    found = leader[np.searchsorted(table, own)]
-    words = np.append(big_words(data), np.zeros(8, U))
-    equal = np.ones(len(at), bool)
+    own = np.concatenate([_roll(data[k : k + CHUNK + WINDOW - 1], WINDOW) for k in range(0, len(data), CHUNK)])[at]
+    order = np.argsort(own)
+    own = own[order]
+    head = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    leader = np.minimum.reduceat(order, head)  # of each hash the window with the smallest id
+    found = np.empty(len(at), np.int64)
+    found[order] = leader[np.searchsorted(own[head], own)]
+    other = np.flatnonzero(ids[run] > ids[run[found]])
+    words = words_at(data)
+    equal = np.ones(len(other), bool)
     for k in (0, 8, 16, 24, 32, 40, WINDOW - 8):
-        equal &= words[at + k] == words[at[found] + k]
-    gone = equal & (ids[run] > ids[run[found]])
-    odd = np.flatnonzero(~equal)  # equal hashes of different windows: by their bytes
-    if len(odd):
+        equal &= words[at[other] + k] == words[at[found[other]] + k]
+    gone = np.zeros(len(at), bool)
+    gone[other] = equal
+    if not equal.all():  # equal hashes of different windows: by their bytes
+        clash = np.flatnonzero(np.isin(found, found[other[~equal]]))
         raw, best = data.tobytes(), {}
-        for k in odd.tolist():
-            w = raw[at[k] : at[k] + WINDOW]
-            best[w] = min(best.get(w, ids[run[k]]), ids[run[k]])
-        for k in odd.tolist():
+        for k in clash.tolist():
+            best.setdefault(raw[at[k] : at[k] + WINDOW], ids[run[k]])
+        for k in clash.tolist():
             gone[k] = ids[run[k]] > best[raw[at[k] : at[k] + WINDOW]]
     row, place = rk[run[gone]], first[run[gone]] + step[gone]
     order = np.lexsort((place, row))
-    out = _Found()
-    for r, packed in _by_row(*ranges(row[order], place[order])):
-        out.rows.append((0, None, r, packed))
-    return out.batch()
+    got = list(_by_row(*ranges(row[order], place[order])))
+    return pa.RecordBatch.from_arrays([pa.array([r for r, _ in got], pa.int64()), pa.array([d for _, d in got], pa.binary())], ["rk", "data"])
 
 
 def kept(text: bytes, starts: list[bytes]) -> tuple[bytes, int, int]:
@@ -487,7 +526,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left) of every document."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = 2 * partitions
+    # fewer shards than tasks could be: a document has a row for each shard that shares an anchor with it
+    shards = max(8, partitions // 3)
     rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.col(f"`{text_col}`").alias("t")).withColumn("rk", F.xxhash64("id", "t"))
     keyed = rows.select("rk", "t").mapInArrow(_to_key_shards(shards), "shard bigint, sure boolean, data binary")
     shared = keyed.repartition(partitions, "shard").sortWithinPartitions("shard").mapInArrow(_shared_keys, "rk bigint, keys binary")
@@ -498,9 +538,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows.join(own, "rk", "left").select("id", "rk", F.when(F.col("keys").isNotNull(), F.col("t")).alias("t"), "keys", F.length(whole).cast("bigint").alias("n_bytes"), F.sha2(whole, 256).alias("sha"), *([whole.alias("kept")] if keep_text else [])),
         "suffix-prepared",
     )
-    found = written(prepared.where("keys IS NOT NULL").select("id", "rk", "t", "keys").mapInArrow(_sort_shards(shards), FOUND_DDL), "suffix-found")
-    across = found.where("kind = 1").select("shard", "data").repartition(partitions, "shard").sortWithinPartitions("shard").mapInArrow(_merge, FOUND_DDL)
-    gone = found.where("kind = 0").unionByName(across).groupBy("rk").agg(F.collect_list("data").alias("gone"))
+    discard(shared)
+    # windows meet in more, smaller shards than keys: a window is longer than a key
+    found = prepared.where("keys IS NOT NULL").select("id", "rk", "t", "keys").mapInArrow(_sort_shards(4 * partitions), FOUND_DDL)
+    windows = written(found.repartition(partitions, "shard").sortWithinPartitions("shard").mapInArrow(_merge, "rk bigint, data binary"), "suffix-windows")
+    gone = windows.groupBy("rk").agg(F.collect_list("data").alias("gone"))
     joined = prepared.join(gone, "rk", "left")
 
     def finish(text: pa.Array, starts: pa.Array) -> pa.Array:
