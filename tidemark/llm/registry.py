@@ -11,6 +11,9 @@ import public_tokenizers
 
 from tidemark.llm import decontaminate, jaccard_join, license_scan, line_dedup, perplexity, piece_dropout, quality_rules, suffix_dedup, token_files, toxicity
 from tidemark.llm.common import shared_dir
+from tidemark.llm.sql import oracle_sql
+
+__all__ = ["oracle_sql", "queries"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,45 +61,6 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(docs, out="d").select("doc_id", "d.n_lines", "d.n_removed", "d.n_runs", F.sha2(F.coalesce("d.text", F.lit("")), 256).alias("kept_sha256"))
 
 
-OP5_SQL = """
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p
-  FROM documents WHERE text IS NOT NULL
-), sums AS (
-  SELECT *, coalesce(sum(length(line)) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS v
-  FROM lines
-), bounds AS (
-  SELECT doc_id, p AS q, v FROM sums
-  UNION ALL SELECT doc_id, max(p) + 1, sum(length(line)) FROM lines GROUP BY doc_id
-), reached AS (
-  SELECT doc_id, q,
-    min(q) OVER (PARTITION BY doc_id ORDER BY v RANGE BETWEEN 32 FOLLOWING AND UNBOUNDED FOLLOWING) AS e,
-    max(q) OVER (PARTITION BY doc_id ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND 32 PRECEDING) AS b
-  FROM bounds
-), units AS (
-  SELECT doc_id, q AS p, e - q AS n FROM reached WHERE e IS NOT NULL
-  UNION SELECT doc_id, b, q - b FROM reached WHERE b IS NOT NULL
-), worded AS (
-  SELECT u.doc_id, u.p, u.n, string_agg(l.line, chr(10) ORDER BY l.p) AS run
-  FROM units u JOIN lines l ON l.doc_id = u.doc_id AND l.p >= u.p AND l.p < u.p + u.n
-  GROUP BY u.doc_id, u.p, u.n
-), copies AS (
-  SELECT doc_id, p, n FROM (SELECT *, row_number() OVER (PARTITION BY n, run ORDER BY doc_id, p) AS r FROM worded) WHERE r > 1
-), gone AS (
-  SELECT DISTINCT doc_id, unnest(generate_series(p, p + n - 1)) AS p FROM copies
-), marked AS (
-  SELECT l.doc_id, l.p, l.line, g.p IS NOT NULL AS gone, lag(g.p IS NOT NULL, 1, false) OVER (PARTITION BY l.doc_id ORDER BY l.p) AS before
-  FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.p = l.p
-), digests AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND NOT before) AS n_runs,
-    sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
-  FROM marked GROUP BY doc_id
-)
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs, coalesce(kept_sha256, sha256('')) AS kept_sha256
-FROM documents d LEFT JOIN digests USING (doc_id)
-"""
-
-
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.suffix_dedup(docs).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -142,7 +106,3 @@ def queries() -> dict[str, Query]:
         "op9_jaccard_join": op9_jaccard_join,
         "op10_license_scan": op10_license_scan,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL}
