@@ -53,6 +53,14 @@ def test_null_ids_empty_tables_and_clashing_columns(spark):
     assert L.line_dedup(empty(spark)).count() == 0
 
 
+def test_short_repeated_runs_go_by_default(spark):
+    rows = [(0, "All rights reserved.\n\none"), (1, "two\n\nAll rights reserved."), (2, "x\n\nthree"), (3, "four\n\nx"), (4, "five\n\n\nsix"), (5, "\n\n"), (6, "All rights reserved.\n\none")]
+    want = brute(rows, 1)
+    got = {r.doc_id: (r["__lines"].n_removed, r["__lines"].text) for r in L.line_dedup(docs(spark, rows)).collect()}
+    assert got == {k: (len(want[k, x]), "\n".join(v for p, v in enumerate(x.split("\n")) if p not in want[k, x])) for k, x in rows}
+    assert got[1] == (1, "two\n") and got[3] == (1, "four\n") and got[5][0] == 0 and got[6] == (3, "")
+
+
 def test_no_python_on_the_main_path(spark):
     plan = L.line_dedup(docs(spark, ["a", "b"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -10,7 +10,8 @@ What goes: each line that lies in a run of consecutive lines of ``min_chars`` ch
 which also starts at an earlier place. Such runs are covered exactly by their units: the shortest runs
 from a line onwards, and up to a line, that have ``min_chars`` characters. A unit of n lines is named by
 the two names of 2**floor(log2 n) lines that cover it; if its class has an earlier place, its lines go.
-Maximal repeated runs are unions of such units; the first copy of each stays.
+Maximal repeated runs are unions of such units; the first copy of each stays. By default any run with a
+character counts; only runs of empty lines alone stay.
 
 Scale: lines are counted with partial sums, so a hot line is one row from each task before the shuffle;
 class tables are written to the shared folder and joined back, sort-merge, where a hot class can be
@@ -71,7 +72,7 @@ def _units(active: DataFrame, min_chars: int) -> DataFrame:
     return onward.unionByName(backward).where("p IS NOT NULL AND n IS NOT NULL").dropDuplicates(["i", "k", "p", "n"])
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 32) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1) -> DataFrame:
     """i (id), k (key of the document), gone (numbers of its lines that go, from 0)."""
     lines = (
         docs.select(ordered_id(docs, id_col).alias("i"), document_key(id_col, text_col).alias("k"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n", -1)).alias("p", "line"))
@@ -112,7 +113,7 @@ def document_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "__lines", min_chars: int = 32) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "__lines", min_chars: int = 1) -> DataFrame:
     """Adds struct ``out``: n_lines, n_removed, n_runs (maximal runs of removed lines), text (what is left)."""
     gone = repeated_lines(docs, id_col, text_col, min_chars).select(F.col("i").alias(f"{out}_i"), F.col("k").alias(f"{out}_k"), F.col("gone").alias(f"{out}_g"))
     keyed = docs.withColumns({f"{out}_k": document_key(id_col, text_col), f"{out}_i": ordered_id(docs, id_col)})
