@@ -176,6 +176,7 @@ def _near_edges(least: int):  # noqa: ANN202
         for table in whole_groups(batches, "g"):
             g = table.column("g").to_numpy()
             blk = table.column("blk").to_numpy()
+            across = table.column("across").to_numpy()
             c = table.column("c").to_pylist()
             sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(c), TREES * DEPTH)
             a, b = [], []
@@ -187,9 +188,8 @@ def _near_edges(least: int):  # noqa: ANN202
                 near = np.zeros((m, m), bool)
                 for k in range(m - 1):
                     near[k, k + 1 :] = (s[k + 1 :] == s[k]).sum(axis=1) >= least
-                sides = blk[start:end]
-                if (sides != sides[0]).any():  # block against block: each block meets itself elsewhere
-                    near &= sides[:, None] != sides[None, :]
+                sides = blk[start:end]  # block against block: each block meets itself elsewhere
+                near &= ~across[start:end, None] | (sides[:, None] != sides[None, :])
                 root = roots(near | near.T)
                 for v in np.flatnonzero(root != np.arange(m)).tolist():
                     a.append(c[start + v])
@@ -234,6 +234,7 @@ def _links(numerator: int, denominator: int):  # noqa: ANN202
         for table in whole_groups(batches, "g"):
             g = table.column("g").to_numpy()
             blk = table.column("blk").to_numpy()
+            across = table.column("across").to_numpy()
             comp = table.column("comp").to_pylist()
             c = table.column("c").to_pylist()
             flat = table.column("s").combine_chunks()
@@ -247,9 +248,8 @@ def _links(numerator: int, denominator: int):  # noqa: ANN202
                 # common / (a + b - common) >= numerator / denominator
                 near = common * (numerator + denominator) >= numerator * (size[:, None] + size[None, :])
                 np.fill_diagonal(near, False)
-                sides = blk[start:end]
-                if (sides != sides[0]).any():
-                    near &= sides[:, None] != sides[None, :]
+                sides = blk[start:end]  # one of the two blocks may be empty
+                near &= ~across[start:end, None] | (sides[:, None] != sides[None, :])
                 if len(set(comp[start:end])) > 1:  # two components under one key
                     own = np.array([hash(x) for x in comp[start:end]])
                     near &= own[:, None] == own[None, :]
@@ -263,11 +263,13 @@ def _links(numerator: int, denominator: int):  # noqa: ANN202
 
 
 def _dealt(rows: DataFrame, blocks: str, *key: str) -> DataFrame:
-    """Each row once for every block that its own block meets, with g for the pair of blocks."""
+    """Each row once for every block that its own block meets, with g for the pair of blocks, and across
+    where the pair's blocks differ."""
     return (
         rows.withColumn("blk", F.expr(f"cast(pmod(xxhash64(c, 5), {blocks}) as int)"))
         .withColumn("other", F.explode(F.expr(f"sequence(0, cast({blocks} as int) - 1)")))
         .withColumn("g", F.xxhash64(*key, F.least("blk", "other"), F.greatest("blk", "other")))
+        .withColumn("across", F.expr("other <> blk"))
         .drop("other")
     )
 
@@ -287,9 +289,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = reps.select("c", F.posexplode("keys").alias("t", "key"))
     full = written(nodes.groupBy("t", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "jaccard-nodes")
     members = nodes.join(full.hint("merge"), ["t", "key"]).withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
-    dealt = _dealt(members, "nb", "t", "key").select("c", "blk", "g").join(reps.select("c", "sig").hint("merge"), "c")
+    dealt = _dealt(members, "nb", "t", "key").select("c", "blk", "across", "g").join(reps.select("c", "sig").hint("merge"), "c")
     least = math.floor((level - margin) * TREES * DEPTH)
-    edges = dealt.select("g", "blk", "c", "sig").repartition("g").sortWithinPartitions("g").mapInArrow(_near_edges(least), "a binary, b binary")
+    edges = dealt.select("g", "blk", "across", "c", "sig").repartition("g").sortWithinPartitions("g").mapInArrow(_near_edges(least), "a binary, b binary")
     comps = written(components(edges).select(F.col("v").alias("c"), F.col("root").alias("comp")), "jaccard-components")
 
     picked = comps.join(reps.select("c", F.col("f.rk").alias("rk"), "n"), "c")
@@ -310,7 +312,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # rows that are equal bring their set twice
     payload = payload.dropDuplicates(["c"])
     verified = written(
-        _dealt(payload, "nb", "comp").select("g", "blk", "comp", "c", "s").repartition("g").sortWithinPartitions("g").mapInArrow(_links(*threshold), "c binary, links bigint, root binary"),
+        _dealt(payload, "nb", "comp").select("g", "blk", "across", "comp", "c", "s").repartition("g").sortWithinPartitions("g").mapInArrow(_links(*threshold), "c binary, links bigint, root binary"),
         "jaccard-links",
     )
     links = verified.groupBy("c").agg(F.sum("links").alias("n_links"))
