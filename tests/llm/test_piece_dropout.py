@@ -55,6 +55,31 @@ def test_share_of_skipped_merges(pieces):
     assert abs(got - 0.1) < 0.005
 
 
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5, 1.0])
+def test_placed_units_equal_the_agenda_under_their_own_keys(pieces, dropout):
+    e = P.Encoder(pieces, dropout=dropout)
+    for _ in range(2):  # the second time from what is known
+        for x, owner, data in zip(TEXTS, range(-3, 99), e.encode_placed(TEXTS, list(range(-3, len(TEXTS) - 3))), strict=False):
+            assert P.decode(pieces, data) == x
+            if P.SPACE not in x:
+                units = P._UNIT.findall(P.SPACE + x.replace(" ", P.SPACE)) if x else []
+                keys = [int(P.mixed(np.array([owner], np.int64).view(np.uint64), np.array([k], np.uint64))[0]) for k in range(len(units))]
+                assert ids(data) == [i for u, k in zip(units, keys, strict=True) for i in e.agenda(u, 0, k)]
+
+
+def test_cuts_of_a_word_are_not_capped(spark, pieces):
+    """Within one document, and over documents: more than four segmentations of one word."""
+    d = docs(spark, [(0, "internationalisation " * 200), *((k, "internationalisation") for k in range(1, 101))])
+    rows = P.encode_docs(d, MODEL, dropout=0.3, variants=None).select("doc_id", "__pieces.*").collect()
+    assert len({tuple(r.ids) for r in rows if r.doc_id}) > 4
+    one = P.Encoder(pieces, dropout=0.3)
+    assert len({one.encode_placed(["x internationalisation"], [k])[0] for k in range(100)}) > 4
+    ids = next(list(r.ids) for r in rows if r.doc_id == 0)
+    names = [pieces.bytes[i] for i in ids]
+    starts = [k for k, x in enumerate(names) if x.startswith(b" ")] + [len(names)]
+    assert len({tuple(ids[a:b]) for a, b in zip(starts, starts[1:], strict=False)}) > 4
+
+
 def test_frame(spark, pieces):
     d = docs(spark, [*enumerate(TEXTS), ("null", None), (7, "x")]).withColumnRenamed("lang", "ids")
     rows = P.encode_docs(d, MODEL).select("text", "__pieces.*").collect()

@@ -3,9 +3,15 @@
 The pieces and their ranks come from a SentencePiece model file. Encoding repeats the best-ranked merge
 of two neighbouring symbols (the leftmost of equals). A candidate merge is the pair of spans it joins;
 a keyed hash of seed, variant, unit and spans decides whether it is skipped, for good, so the result
-depends on nothing but the key: it is the same on every executor, after every retry. A document's
-variant is a keyed hash of its id, dealt into ``variants`` classes; hence one word is cut in different
-ways in different documents, and a worker still cuts each word once for each variant.
+depends on nothing but the key: it is the same on every executor, after every retry.
+
+With ``variants=None`` each unit has a key of its own, from a keyed hash of the document's id (its
+variant) and the unit's place, so all occurrences of a word are cut independently. A worker keeps each
+unit's segmentation without dropout and the candidates that led to it; where an occurrence skips none of
+these, that segmentation is its own, and any other occurrence is merged anew under its key.
+
+With a number of ``variants``, a document's variant is a keyed hash of its id, dealt into as many classes;
+a word is cut alike in all documents of a class, and a worker cuts it once for each variant.
 
 Units are what pieces cannot cross: runs of spaces with the word after them, and line feeds. Short units
 of equal length are merged together as numpy matrices; long ones by an agenda (a heap).
@@ -108,6 +114,14 @@ class Encoder:
         self.known: dict[int, dict[str, bytes]] = defaultdict(dict)
         ids = np.array(pieces.as_bytes(SPACE), "<u2")
         self.sign = ids.tobytes()
+        self.forget()
+
+    def forget(self) -> None:
+        """Units without dropout: numbers, ids, and the spans of the candidates met. None is the sign itself."""
+        self.number: dict[str | None, int] = {None: 0}
+        self.plain = [self.sign]
+        self.first, self.count, self.long = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, bool)
+        self.spans = np.zeros((3, 0), np.int32)
 
     def skipped(self, key: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed(key, start.astype(U), mid.astype(U), end.astype(U)) < self.limit
@@ -115,14 +129,14 @@ class Encoder:
     def key(self, variant: int, unit: str) -> int:
         return xxhash.xxh3_64_intdigest(unit.encode(), seed=(self.seed * 1_000_003 + variant) & (2**64 - 1))
 
-    def agenda(self, unit: str, variant: int) -> list[int]:
-        """One unit: candidates in a heap by rank and place."""
+    def agenda(self, unit: str, variant: int, own: int | None = None) -> list[int]:
+        """One unit, with a key of its own or that of the variant: candidates in a heap by rank and place."""
         p = self.pieces
         chars = [int(p.char[ord(c)]) for c in unit]
         n = len(unit)
         symbol, end = dict(enumerate(chars)), {k: k + 1 for k in range(n)}
         before = {k: k - 1 for k in range(n)}
-        key = np.array([self.key(variant, unit)], U)
+        key = np.array([self.key(variant, unit) if own is None else own], U)
         heap: list[tuple[int, int, int, int]] = []
 
         def offer(a: int) -> None:
@@ -153,18 +167,23 @@ class Encoder:
             out += [symbol[a]] if symbol[a] >= 0 else p.as_bytes(unit[a])
         return out
 
-    def together(self, units: list[str], variant: int) -> list[bytes]:
-        """Units of one length, a merge each in every round."""
+    def together(self, units: list[str], key: np.ndarray | None, met: list[np.ndarray] | None = None) -> list[bytes]:
+        """Units of one length, a merge each in every round; without keys none is skipped. To ``met`` go the
+        candidates: unit, start, middle and end."""
         p, m, n = self.pieces, len(units), len(units[0])
+        dropout = self.dropout if key is not None else 0
+        key = np.zeros(m, U) if key is None else key
         code = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).reshape(m, n)
         symbol = p.char[code]
         out: list[bytes] = [b""] * m
         row = np.arange(m)
-        key = np.array([self.key(variant, u) for u in units], U)
         start = np.broadcast_to(np.arange(n + 1, dtype=np.int32), (m, n + 1)).copy()
         into = p.joined(symbol[:, :-1], symbol[:, 1:])
         rank = p.rank[into]  # -1 takes the last, _NONE
-        if self.dropout and n > 1:
+        if met is not None and n > 1:
+            r, a = np.nonzero(rank < _NONE)
+            met.append(np.stack([r, a, a + 1, a + 2]))
+        if dropout and n > 1:
             rank = np.where(self.skipped(key[:, None], start[:, :-2], start[:, 1:-1], start[:, 2:]), _NONE, rank)
 
         def done(which: np.ndarray) -> None:
@@ -209,7 +228,10 @@ class Encoder:
                     a = at[ok]
                     new = p.joined(symbol[ok, a], symbol[ok, a + 1])
                     r = p.rank[new]
-                    if self.dropout:
+                    if met is not None:
+                        real = r < _NONE
+                        met.append(np.stack([row[ok], start[ok, a], start[ok, a + 1], start[ok, a + 2]])[:, real])
+                    if dropout:
                         r = np.where(self.skipped(key[ok], start[ok, a], start[ok, a + 1], start[ok, a + 2]), _NONE, r)
                     into[ok, a], rank[ok, a] = new, r
 
@@ -224,7 +246,67 @@ class Encoder:
         for same in by_length.values():
             for k in range(0, len(same), 20_000):
                 part = same[k : k + 20_000]
-                known.update(zip(part, self.together(part, variant), strict=True))
+                keys = np.array([self.key(variant, u) for u in part], U)
+                known.update(zip(part, self.together(part, keys), strict=True))
+
+    def study(self, units: set[str]) -> None:
+        """Segmentations without dropout, with the candidates met; long units are left to their occurrences."""
+        by_length: dict[int, list[str]] = defaultdict(list)
+        for u in units:
+            by_length[min(len(u), LONG + 1)].append(u)
+        counts, spans, longs = [self.count], [self.spans], [self.long]
+        for n, same in by_length.items():
+            for k in range(0, len(same), 20_000):
+                part = same[k : k + 20_000]
+                met: list[np.ndarray] = []
+                self.number.update(zip(part, range(len(self.plain), len(self.plain) + len(part)), strict=True))
+                self.plain += self.together(part, None, met) if n <= LONG else [b""] * len(part)
+                whose, *of = np.concatenate([np.zeros((4, 0), np.int64), *met], axis=1)
+                counts.append(np.bincount(whose, minlength=len(part)))
+                spans.append(np.stack(of)[:, np.argsort(whose, kind="stable")].astype(np.int32))
+                longs.append(np.full(len(part), n > LONG))
+        self.count, self.spans, self.long = np.concatenate(counts), np.concatenate(spans, axis=1), np.concatenate(longs)
+        self.first = np.cumsum(self.count) - self.count
+
+    def encode_placed(self, texts: list[str | None], owners: list[int]) -> list[bytes]:
+        """Ids of each text, each unit under the key of its text's owner and its place."""
+        if len(self.plain) > self.most:
+            self.forget()
+        units: list[str | None] = []
+        ends = [0]
+        for x in texts:
+            for k, part in enumerate(x.split(SPACE)) if x else ():
+                if k:
+                    units.append(None)
+                units += _UNIT.findall((SPACE if k == 0 else "") + part.replace(" ", SPACE))
+            ends.append(len(units))
+        if new := set(units) - self.number.keys():
+            self.study(new)
+        sizes = np.diff(ends)
+        number = np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
+        place = np.arange(len(units)) - np.repeat(ends[:-1], sizes)
+        key = mixed(np.repeat(np.array(owners, np.int64).view(U), sizes), place.astype(U))
+        out = list(map(self.plain.__getitem__, number.tolist()))
+        again = self.long[number]
+        for at in range(0, len(units) if self.dropout else 0, 50_000):
+            of = number[at : at + 50_000]
+            count = self.count[of]
+            whose = np.repeat(np.arange(len(of)), count)
+            span = self.spans[:, np.arange(len(whose)) + np.repeat(self.first[of] - np.cumsum(count) + count, count)]
+            again[at + whose[self.skipped(key[at + whose], *span)]] = True
+        by_length: dict[int, list[int]] = defaultdict(list)
+        for k in np.flatnonzero(again).tolist():
+            by_length[min(len(units[k]), LONG + 1)].append(k)
+        for n, same in by_length.items():
+            for k in range(0, len(same), 20_000):
+                part = same[k : k + 20_000]
+                if n > LONG:
+                    got = [np.array(self.agenda(units[j], 0, int(key[j])), "<u2").tobytes() for j in part]
+                else:
+                    got = self.together([units[j] for j in part], key[part])
+                for j, ids in zip(part, got, strict=True):
+                    out[j] = ids
+        return [b"".join(out[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def encode(self, texts: list[str | None], variants: list[int]) -> list[bytes]:
         """Ids (little-endian, 2 bytes each) of each text."""
@@ -261,11 +343,12 @@ def encoder(path: str, seed: int, dropout: float) -> Encoder:
     return _loaded[key]
 
 
-def variant_of(identity: Column, seed: int, variants: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.coalesce(identity.cast("string"), F.lit("0"))), F.lit(variants)).cast("int")
+def variant_of(identity: Column, seed: int, variants: int | None) -> Column:
+    h = F.xxhash64(F.lit(seed), F.coalesce(identity.cast("string"), F.lit("0")))
+    return h if variants is None else F.pmod(h, F.lit(variants)).cast("int")
 
 
-def encode_docs(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", out: str = "__pieces", seed: int = 7, dropout: float = 0.1, variants: int = 4, keep_ids: bool = True) -> DataFrame:
+def encode_docs(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", out: str = "__pieces", seed: int = 7, dropout: float = 0.1, variants: int | None = 4, keep_ids: bool = True) -> DataFrame:
     """Adds struct ``out``: variant, n_tokens, ids_crc32 (of the ids, 2 bytes each), lossless (the ids
     decode to the text) and, unless left out, ids."""
     fields = [("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("lossless", pa.bool_())]
@@ -276,10 +359,11 @@ def encode_docs(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     def run(text: pa.Array, variant: pa.Array) -> pa.Array:
         enc = encoder(path, seed, dropout)
+        encode = enc.encode_placed if variants is None else enc.encode
         columns: list[list] = [[] for _ in fields]
         for at in range(0, len(text), 500):
             texts = text.slice(at, 500).to_pylist()
-            for x, ids in zip(texts, enc.encode(texts, variant.slice(at, 500).to_pylist()), strict=True):
+            for x, ids in zip(texts, encode(texts, variant.slice(at, 500).to_pylist()), strict=True):
                 columns[0].append(len(ids) // 2)
                 columns[1].append(zlib.crc32(ids))
                 columns[2].append(decode(enc.pieces, ids) == (x or ""))

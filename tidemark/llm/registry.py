@@ -75,7 +75,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return piece_dropout.encode_docs(docs, model, out="p", keep_ids=False).select("doc_id", "p.variant", "p.n_tokens", "p.ids_crc32", "p.lossless")
+    return piece_dropout.encode_docs(docs, model, out="p", variants=None, keep_ids=False).select("doc_id", "p.variant", "p.n_tokens", "p.ids_crc32", "p.lossless")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
