@@ -2,7 +2,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from tidemark.llm.common import discard, shared_dir, slices, written
+from tidemark.llm.common import clear, discard, row_key, shared_dir, written
 
 
 def session(master, folder=None):
@@ -27,5 +27,25 @@ def test_written_and_discarded(spark):
         t.count()
 
 
-def test_slices():
-    assert sum(slices(["aa", None, "bbb", "c" * 9, ""], 5), []) == ["aa", None, "bbb", "c" * 9, ""]
+def test_clear_removes_what_is_left(spark):
+    t = written(spark.range(3), "t")
+    clear(spark)
+    with pytest.raises(Exception):  # noqa: B017
+        t.count()
+
+
+def test_settings_come_back_after_tables_written_together(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 777)
+    try:
+        with ThreadPoolExecutor(4) as pool:
+            assert [t.count() for t in pool.map(lambda n: written(spark.range(n), "t"), range(1, 9))] == list(range(1, 9))
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "777"
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_row_keys(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, None), (None, "a"), (2, "a"), (1, "a")], "i long, t string").select(row_key("i", "t").alias("k")).collect()
+    assert all(len(r.k) == 16 for r in rows) and len({bytes(r.k) for r in rows}) == 4

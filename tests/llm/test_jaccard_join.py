@@ -84,6 +84,52 @@ def test_two_members_dealt_by_their_shingles_count_one_link(spark, monkeypatch):
     assert sorted(map(tuple, got)) == brute(xs) and all(r.n_links == 1 for r in got)
 
 
+def test_a_large_cluster_of_near_copies(spark):
+    """5,000 different texts near one another: all pairs are links, and no task holds the cluster."""
+    base = words(120, 77, 100_000)
+    xs = [(k, " ".join([*base[: k % 120], f"only{k}", *base[k % 120 + 1 :]])) for k in range(5000)]
+    got = J.jaccard_groups(docs(spark, xs)).select("n_links", "group_id").distinct().collect()
+    # 116 shingles, of which an edit changes five at most: 106 or more of 126 are common
+    assert [tuple(r) for r in got] == [(4999, 0)]
+    plan = J._dealt(spark.createDataFrame([(b"a", bytes([k % 256, k // 256]), 11) for k in range(5000)], "comp binary, c binary, nb int"), "nb", "comp")
+    sizes = [r["count"] for r in plan.groupBy("g").count().collect()]
+    assert len(sizes) == 66 and max(sizes) < 1100
+
+
+def test_the_walk_shortens_only_where_classes_are_apart(spark, monkeypatch):
+    """Whole labels connect a tight cluster; nodes of the least depth then hold nothing to compare."""
+    seen = []
+    monkeypatch.setattr(J, "components", lambda e: seen.append(e.count()) or components(e))
+    base = words(200, 5, 100_000)
+    xs = [(k, " ".join([*base, f"tail{k}"])) for k in range(50)]
+    assert J.jaccard_groups(docs(spark, xs)).where("n_links = 49").count() == 50
+    # one step of the walk, then the links themselves: 49 of the star of verified ones
+    assert len(seen) == 2 and seen[0] >= 49 and seen[1] == 49
+
+
+def test_overlaps_match_sets():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 60, r.integers(0, 40))) for _ in range(30)]
+    got = J.overlaps(sets)
+    for a in range(30):
+        for b in range(30):
+            if a != b:
+                assert got[a, b] == len(np.intersect1d(sets[a], sets[b]))
+
+
+def test_wordless_rows_all_stay(spark):
+    xs = [(1, "..."), (1, "..."), (2, ""), (2, ""), (3, "\n"), (3, "\n"), (4, None), (4, None), (5, "two words"), (5, "two words")]
+    got = sorted(r.doc_id for r in J.one_of_each(docs(spark, xs)).collect())
+    assert got == [1, 1, 2, 2, 3, 3, 4, 4, 5]
+
+
+def test_very_long_texts(spark):
+    base = words(60_000, 9, 10**6)
+    xs = [(0, " ".join(base)), (1, " ".join([*base[:30_000], "x", *base[30_000:]])), (2, " ".join(words(60_000, 10, 10**6)))]
+    got = sorted(map(tuple, J.jaccard_groups(docs(spark, xs)).select("id", "class_id", "n_links", "group_id").collect()))
+    assert got == [(0, 0, 1, 0), (1, 1, 1, 0), (2, 2, 0, 2)]
+
+
 def test_one_of_each_keeps_the_first(spark):
     xs = rows()
     d = docs(spark, [*xs, xs[0], ("null", "fresh words that nobody else has at all")]).withColumnRenamed("lang", "c").withColumnRenamed("source", "g")
@@ -95,7 +141,8 @@ def test_one_of_each_keeps_the_first(spark):
 
 
 def test_prefix_shortens_to_the_recall():
-    assert J.prefix_for(0.8, 0.9) == 6 and J.prefix_for(0.8, 0.99999) == 5 and J.prefix_for(0.95, 0.99999) == 6
+    assert J.prefix_for(0.8, 0.9, depth=6) == 6 and J.prefix_for(0.8, 0.99999) == 5 and J.prefix_for(0.95, 0.99999, depth=6) == 6
+    assert J.prefix_for(0.8, 0.9) == 8 and J.prefix_for(0.8, 0.999) == 7 and J.prefix_for(0.8, 0.9999) == 5
     with pytest.raises(ValueError):
         J.prefix_for(0.1, 0.99999)
 

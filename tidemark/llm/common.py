@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Spelled out as bytes: every byte but 0-9, A-Z (made lower case), a-z and those of other alphabets becomes a space.
 WORD_TABLE = bytes(
@@ -43,6 +46,33 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 #: While a table is written: shuffle files go as soon as the write is done, and Python workers get no more
 #: than so many rows at once, as rows hold texts.
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+_lock = threading.Lock()
+#: By application: how many tables are being written now, and the settings from before the first of them.
+_now: dict[str, tuple[int, dict[str, str | None]]] = {}
+#: Paths of tables that are still there, by application.
+_made: dict[str, set[str]] = {}
+
+
+@contextlib.contextmanager
+def _writing(spark: SparkSession) -> Iterator[None]:
+    """The settings above, until the last of the tables that threads write together is done."""
+    app = spark.sparkContext.applicationId
+    with _lock:
+        n, before = _now.get(app) or (0, {k: spark.conf.get(k, None) for k in _WRITING})
+        if not n:
+            for k, v in _WRITING.items():
+                spark.conf.set(k, str(min(int(v), int(before[k]))) if v.isdigit() and before[k] else v)
+        _now[app] = n + 1, before
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _now[app]
+            _now[app] = n - 1, before
+            if n == 1:
+                del _now[app]
+                for k, v in before.items():
+                    spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -50,43 +80,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     and the shuffles that led to them are no longer needed."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    before = {k: spark.conf.get(k, None) for k in _WRITING}
-    for k, v in _WRITING.items():
-        spark.conf.set(k, str(min(int(v), int(before[k]))) if v.isdigit() and before[k] else v)
-    try:
+    with _writing(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
+    _made.setdefault(spark.sparkContext.applicationId, set()).add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+    _made.get(context.applicationId, set()).discard(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes tables that ``written`` has made, once nothing will read them again."""
     for t in tables:
-        context = t.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(t.written_to)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def slices(texts: Iterable[str | None], most_bytes: int) -> Iterator[list[str | None]]:
-    """Consecutive texts, cut after about ``most_bytes`` characters; a longer text stands alone."""
-    part: list[str | None] = []
-    size = 0
-    for x in texts:
-        n = len(x) if x else 0
-        if part and size + n > most_bytes:
-            yield part
-            part, size = [], 0
-        part.append(x)
-        size += n
-    if part:
-        yield part
+        _remove(t.sparkSession, t.written_to)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all tables that ``written`` has made for this application and that are still there: to be
+    called once the results of its queries are saved, as results read from them lazily."""
+    for path in list(_made.get(spark.sparkContext.applicationId, ())):
+        _remove(spark, path)
+
+
+def row_key(*columns: Column) -> Column:
+    """16 bytes that stand for a row: two hashes, as one of 64 bits would not tell 10**10 rows apart."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(n), *columns)), 16, "0") for n in (0, 1)]))
 
 
 def structs(schema: pa.StructType, columns: list) -> pa.StructArray:

@@ -10,32 +10,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import discard, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """v, root: every vertex with the least vertex that it is connected to."""
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
     e = written(e.distinct(), "component-edges")
-    for _ in range(most_rounds):
+    for _ in range(most_rounds if e.take(1) else 0):
         # large-star: what is larger than u hangs on u's least neighbour (or u)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        least = written(least, "component-least")
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.distinct(), "component-large")
         # small-star: u and what is smaller than u hang on u's least neighbour
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "component-least")
-        joined = large.join(least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         new = written(small.distinct(), "component-edges")
         # stars: every u once, no v that hangs on something
         loose = new.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).unionByName(
             new.select("v").join(new.select(F.col("u").alias("v")), "v", "left_semi").select(F.col("v").alias("u"), F.lit(1).cast("long").alias("n")).limit(1)
         )
+        settled = not loose.take(1)
+        discard(e, large)
         e = new
-        if not loose.take(1):
+        if settled:
             break
     else:
-        raise RuntimeError("components did not settle")
+        if e.take(1):
+            raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(e.select("v", F.col("v").alias("root")).distinct())

@@ -2,30 +2,38 @@
 
 1.  A text is the set of its shingles (five consecutive words; a text of fewer words is one shingle).
     Texts with equal sets form a class; one of each class goes on, so copies cost nothing more.
-2.  A class gets TREES labels of DEPTH minima each: the leaf it would have in each sorted prefix trie.
-    Matching starts at the full label and the prefix is shortened until the chance to find a pair at the
-    threshold in some tree reaches the target recall (``prefix_for``): that prefix is the tries' key.
-3.  Trie nodes with two classes or more are found with partial counts. Their members are compared by
-    whole signatures (8 bits of every minimum); pairs within ``margin`` of the threshold are edges. A node
-    of more than BLOCK members is dealt into blocks, and block meets block, so no task holds a large node.
-4.  Components of the edges hold all pairs that can be links. Their texts come back once, as sets, and
-    within each component (again block by block when large) all intersections are counted exactly, by
-    matrix products over the shingles that two texts or more have. Pairs are never rows.
+2.  A class has a label of DEPTH minima in each of TREES trees. A tree is the prefix trie of its labels; it is
+    kept sorted, as a table dealt by ranges of (node at the least depth, label, class), so that the members of
+    a node are a run of rows and a large node spans several tasks. Classes that share no node of the least
+    depth with another are in no table.
+3.  The walk starts at whole labels. At each depth, the members of every node that holds classes not yet
+    known to be connected are compared by one bit of every minimum; pairs within ``margin`` of the threshold
+    connect. Then the prefix is shortened by one, for those only whose node still holds classes that they are
+    not connected with, down to the depth at which the chance that a pair at the threshold meets in some
+    tree reaches the target recall (``prefix_for``). A cluster of near copies is so put together in the deep,
+    narrow nodes and costs nothing in the shallow, wide ones. Counts of members are partial sums; a node of
+    many members is dealt into blocks (about the root of its size in number), and block meets block.
+4.  Components of these edges hold all pairs that can be links. Their texts come back once, as sets; each is
+    written down as its difference from the component's pivot (its least class), which is short for near
+    copies, and all intersections follow from those differences and their sizes, by matrix products in the
+    same kind of blocks. Pairs are never rows.
 5.  Verified links give the number of links of each class, and components of links the groups.
 
 Joins with what grows with the corpus are sort-merge joins at every size, whose large keys adaptive
-execution can split.
+execution can split. Work on one cluster of m near copies with different texts grows with m * m, as its
+links do, in blocks that any number of tasks share; rows grow with m to the power of 1.5.
 
-Loss: a pair at exactly the threshold is missed with a chance of 1e-5 or less (7e-6 by the tries, 3e-6 by
-the signature margin); at a similarity of 0.85 both are below 1e-8. No cap is set on partners or nodes.
+Loss: a pair at exactly the threshold is missed with a chance of some 1e-5 (7e-6 by the forest, 2e-6 by the
+bits' margin); at a similarity of 0.85 both are below 1e-8. No cap is set on partners or nodes.
 
 Defined cases: null texts and texts without words have no links; each is its own group, and its class is
-null. Rows that are equal count as copies. Empty tables give empty results; other columns pass through.
+null. Rows that are equal count as copies. A null id stands after all others. Very long texts are sets like
+others; blocks are also bounded by their shingles. Empty tables give empty results. ``jaccard_groups`` returns
+its own columns only; ``one_of_each`` returns those of its input, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +41,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_words, written
+from tidemark.llm.common import ascii_words, discard, row_key, written
 from tidemark.llm.components import components
 from tidemark.llm.license_scan import Hashes, grams
 
-TREES, DEPTH = 30, 6
-BLOCK = 1000
+TREES, DEPTH = 30, 8
+#: A level of a label is the top 16 bits of its minimum.
+LEVEL = 2
+#: Members of a block: four times the root of the group's size, within these bounds.
+BLOCK, LARGEST_BLOCK = 64, 2048
 BLOCK_SHINGLES = 1_500_000
 _r = np.random.default_rng(20240607)
 _MUL = (_r.integers(1, 1 << 63, TREES * DEPTH, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -90,18 +101,15 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def tree_keys(minima: np.ndarray, prefix: int) -> np.ndarray:
-    """A hash of each tree's label prefix."""
-    by_tree = minima.reshape(len(minima), TREES, DEPTH)
-    key = np.full((len(minima), TREES), 0x51_7C_C1B7, np.uint64)
-    for d in range(prefix):
-        key = (key ^ by_tree[:, :, d]) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(31)
-    return key.view(np.int64)
+def labels_and_bits(minima: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set: the labels of all trees, LEVEL bytes for each minimum, and a bit of every minimum."""
+    labels = (minima >> np.uint64(48)).astype(">u2").view(np.uint8).reshape(len(minima), LEVEL * TREES * DEPTH)
+    bits = np.packbits((minima >> np.uint64(40)).astype(np.uint8) & 1, axis=1)
+    return labels, np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8)))
 
 
-def _signed(docs: DataFrame, identity: Column, text: Column, prefix: int, width: int) -> DataFrame:
-    """id, rk (key of the row), c (class; null: no words), n (shingles), keys, sig of every document."""
+def _signed(docs: DataFrame, identity: Column, text: Column, width: int) -> DataFrame:
+    """id, rk (key of the row), c (class; null: no words), n (shingles), labels, bits of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -109,23 +117,21 @@ def _signed(docs: DataFrame, identity: Column, text: Column, prefix: int, width:
                 rows = b.slice(at, 1000)
                 sets = [shingles(x.as_py(), width) for x in rows.column("t")]
                 full = [k for k, s in enumerate(sets) if len(s)]
-                minima = signatures([sets[k] for k in full]) if full else np.zeros((0, TREES * DEPTH), np.uint64)
-                keys, sig = tree_keys(minima, prefix).tolist(), (minima >> np.uint64(40)).astype(np.uint8)
+                labels, bits = labels_and_bits(signatures([sets[k] for k in full]) if full else np.zeros((0, TREES * DEPTH), np.uint64))
                 where = {k: j for j, k in enumerate(full)}
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column("id"), rows.column("rk"),
                         pa.array([class_key(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([len(s) for s in sets], pa.int32()),
-                        pa.array([keys[where[k]] if k in where else None for k in range(len(sets))], pa.list_(pa.int64())),
-                        pa.array([sig[where[k]].tobytes() if k in where else None for k in range(len(sets))], pa.binary()),
+                        *(pa.array([of[where[k]].tobytes() if k in where else None for k in range(len(sets))], pa.binary()) for of in (labels, bits)),
                     ],
-                    ["id", "rk", "c", "n", "keys", "sig"],
+                    ["id", "rk", "c", "n", "labels", "bits"],
                 )
 
     id_type = docs.select(identity.alias("id")).schema[0].dataType.simpleString()
-    return docs.select(identity.alias("id"), F.xxhash64(identity, text).alias("rk"), text.alias("t")).mapInArrow(
-        run, f"id {id_type}, rk bigint, c binary, n int, keys array<bigint>, sig binary"
+    return docs.select(identity.alias("id"), row_key(identity, text).alias("rk"), text.alias("t")).mapInArrow(
+        run, f"id {id_type}, rk binary, c binary, n int, labels binary, bits binary"
     )
 
 
@@ -155,187 +161,240 @@ def _bounds(keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
-def roots(near: np.ndarray) -> np.ndarray:
-    """For each vertex of a symmetric matrix of booleans, the first vertex connected to it."""
-    label = np.full(len(near), -1)
-    for v in range(len(near)):
-        if label[v] < 0:
-            label[v] = v
-            front = np.array([v])
-            while len(front):
-                new = near[front].any(axis=0) & (label < 0)
-                label[new] = v
-                front = np.flatnonzero(new)
-    return label
+class Union:
+    """Connected components of a few thousand vertices, fed a vertex's neighbours at a time."""
 
+    def __init__(self, n: int):
+        self.label = np.arange(n)
 
-def _near_edges(least: int):  # noqa: ANN202
-    """Edges (a, b) between members of a node whose signatures agree in ``least`` places or more."""
+    def join(self, v: int, others: np.ndarray) -> None:
+        met = np.unique(self.label[others])
+        own = self.label[v]
+        if len(met) > 1 or (len(met) and met[0] != own):
+            self.label[np.isin(self.label, np.append(met, own))] = min(int(met[0]), int(own))
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """A number for each distinct value."""
+    return column.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+
+
+def _near_edges(most: int):  # noqa: ANN202
+    """Edges (a, b) between members of a node, of different components, with ``most`` unequal bits or fewer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "g"):
             g = table.column("g").to_numpy()
-            blk = table.column("blk").to_numpy()
-            across = table.column("across").to_numpy()
-            c = table.column("c").to_pylist()
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(c), TREES * DEPTH)
+            blk, across = table.column("blk").to_numpy(), table.column("across").to_numpy()
+            comp, c = _codes(table.column("comp")), table.column("c").to_pylist()
+            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(c), -1)
             a, b = [], []
             for start, end in _bounds(g):
-                m = end - start
-                if m == 1:
-                    continue
-                s = sig[start:end]
-                near = np.zeros((m, m), bool)
-                for k in range(m - 1):
-                    near[k, k + 1 :] = (s[k + 1 :] == s[k]).sum(axis=1) >= least
-                sides = blk[start:end]  # block against block: each block meets itself elsewhere
-                near &= ~across[start:end, None] | (sides[:, None] != sides[None, :])
-                root = roots(near | near.T)
-                for v in np.flatnonzero(root != np.arange(m)).tolist():
+                x, own, side = bits[start:end], comp[start:end], blk[start:end]
+                groups = Union(end - start)
+                for k in range(end - start - 1):
+                    rest = slice(k + 1, None)
+                    near = np.bitwise_count(x[rest] ^ x[k]).sum(axis=1) <= most
+                    near &= own[rest] != own[k]
+                    if across[start + k]:  # each block meets itself elsewhere
+                        near &= side[rest] != side[k]
+                    if near.any():
+                        groups.join(k, k + 1 + np.flatnonzero(near))
+                for v in np.flatnonzero(groups.label != np.arange(end - start)).tolist():
                     a.append(c[start + v])
-                    b.append(c[start + int(root[v])])
+                    b.append(c[start + int(groups.label[v])])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     return run
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """How many shingles each pair of sets has in common."""
+    """How many numbers each pair of sets has in common."""
     m = len(sets)
-    if m <= 3:
-        out = np.zeros((m, m), np.int64)
-        for i in range(m):
-            for j in range(i + 1, m):
-                out[i, j] = out[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        return out
+    out = np.zeros((m, m), np.float32)
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(m), [len(s) for s in sets])
-    _, column, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    new = np.cumsum(counts >= 2) - 1
-    shared = counts[column] >= 2
-    owner, column = owner[shared], new[column[shared]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    head = np.append(True, flat[1:] != flat[:-1]) if len(flat) else np.zeros(0, bool)
+    column = np.cumsum(head) - 1
+    shared = (np.bincount(column) >= 2)[column] if len(flat) else head
+    owner, column = owner[shared], column[shared]
+    column = np.cumsum(np.append(True, column[1:] != column[:-1])) - 1 if len(column) else column
     total = int(column[-1]) + 1 if len(column) else 0
-    out = np.zeros((m, m), np.float64)
     step = 4096
     for at in range(0, total, step):
         lo, hi = np.searchsorted(column, [at, at + step])
-        x = np.zeros((m, min(step, total - at)), np.float32)
-        x[owner[lo:hi], column[lo:hi] - at] = 1
-        out += x @ x.T
-    return np.rint(out).astype(np.int64)
+        rows = np.unique(owner[lo:hi])
+        x = np.zeros((len(rows), min(step, total - at)), np.float32)
+        x[np.searchsorted(rows, owner[lo:hi]), column[lo:hi] - at] = 1
+        out[np.ix_(rows, rows)] += x @ x.T
+    return out
 
 
 def _links(numerator: int, denominator: int):  # noqa: ANN202
-    """c, links, root of every class in a group: verified pairs counted, never emitted."""
+    """c, links, root of every class in a group: verified pairs counted, never emitted. A class comes as the
+    shingles ``d`` in which it and its pivot differ, ``lost`` of them the pivot's; of two, the pivot's
+    shingles less what either lost, and what they differ in alike, are common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "g"):
+            # a row that comes twice brings its class twice
+            first = np.unique(np.stack([table.column("g").to_numpy(), _codes(table.column("c"))], axis=1), axis=0, return_index=True)[1]
+            table = table.take(pa.array(np.sort(first)))
             g = table.column("g").to_numpy()
-            blk = table.column("blk").to_numpy()
-            across = table.column("across").to_numpy()
-            comp = table.column("comp").to_pylist()
-            c = table.column("c").to_pylist()
-            flat = table.column("s").combine_chunks()
+            blk, across = table.column("blk").to_numpy(), table.column("across").to_numpy()
+            comp, c = _codes(table.column("comp")), table.column("c").to_pylist()
+            n, pivot, lost = (table.column(x).to_numpy().astype(np.int64) for x in ("n", "pivot", "lost"))
+            flat = table.column("d").combine_chunks()
             ends, values = flat.offsets.to_numpy(), flat.values.to_numpy()
             got, links, root_of = [], [], []
             for start, end in _bounds(g):
-                m = end - start
-                sets = [values[ends[k] : ends[k + 1]] for k in range(start, end)]
-                size = np.array([len(s) for s in sets], np.int64)
-                common = overlaps(sets)
-                # common / (a + b - common) >= numerator / denominator
-                near = common * (numerator + denominator) >= numerator * (size[:, None] + size[None, :])
-                np.fill_diagonal(near, False)
-                sides = blk[start:end]  # one of the two blocks may be empty
-                near &= ~across[start:end, None] | (sides[:, None] != sides[None, :])
-                if len(set(comp[start:end])) > 1:  # two components under one key
-                    own = np.array([hash(x) for x in comp[start:end]])
-                    near &= own[:, None] == own[None, :]
-                root = roots(near)
-                got += c[start:end]
-                links += near.sum(axis=1).tolist()
-                root_of += [c[start + int(k)] for k in root]
+                of = slice(start, end)
+                alike = overlaps([values[ends[k] : ends[k + 1]] for k in range(start, end)])
+                side, own, size = blk[of], comp[of], n[of]
+                groups, count = Union(end - start), np.zeros(end - start, np.int64)
+                for k in range(end - start):
+                    common = np.rint(alike[k]).astype(np.int64) + pivot[start + k] - lost[start + k] - lost[of]
+                    # common / (a + b - common) >= numerator / denominator
+                    near = common * (numerator + denominator) >= numerator * (size[k] + size)
+                    near &= own == own[k]  # two components may stand under one key
+                    near[k] = False
+                    if across[start + k]:  # one of the two blocks may be empty
+                        near &= side != side[k]
+                    count[k] = near.sum()
+                    if count[k]:
+                        groups.join(k, np.flatnonzero(near))
+                got += c[of]
+                links += count.tolist()
+                root_of += [c[start + int(k)] for k in groups.label]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), pa.array(links, pa.int64()), pa.array(root_of, pa.binary())], ["c", "links", "root"])
 
     return run
 
 
+def _blocks(n: str) -> str:
+    """How many blocks a group of n members makes."""
+    return f"ceil({n} / least({LARGEST_BLOCK}, greatest({BLOCK}, 4 * sqrt({n}))))"
+
+
 def _dealt(rows: DataFrame, blocks: str, *key: str) -> DataFrame:
     """Each row once for every block that its own block meets, with g for the pair of blocks, and across
-    where the pair's blocks differ."""
+    where the pair's blocks differ; dealt by g, and sorted."""
     return (
         rows.withColumn("blk", F.expr(f"cast(pmod(xxhash64(c, 5), {blocks}) as int)"))
         .withColumn("other", F.explode(F.expr(f"sequence(0, cast({blocks} as int) - 1)")))
         .withColumn("g", F.xxhash64(*key, F.least("blk", "other"), F.greatest("blk", "other")))
         .withColumn("across", F.expr("other <> blk"))
-        .drop("other")
+        .drop("other", blocks, *[k for k in key if k != "comp"])
+        .repartition("g")
+        .sortWithinPartitions("g")
     )
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (4, 5), width: int = 5, recall: float = 0.99999, margin: float = 0.135) -> DataFrame:
-    """A row for every document: id, rk (key of id and text), class_id (least id among equal sets),
-    n_links (classes linked with its own), group_id (least id among all that links connect), and
+def _tries(reps: DataFrame, least: int) -> DataFrame:
+    """The trees below their nodes of the least depth that hold two classes or more: root (the node), label,
+    c, bits; sorted."""
+    label = f"substring(labels, cast(t * {LEVEL * DEPTH} + 1 as int), {LEVEL * DEPTH})"
+    nodes = reps.select("c", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t"), "labels", "bits").select(
+        F.expr(f"xxhash64(t, substring({label}, 1, {LEVEL * least}))").alias("root"), F.expr(label).alias("label"), "c", "bits"
+    )
+    full = written(nodes.groupBy("root").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("root"), "jaccard-nodes")
+    tries = written(nodes.join(full.hint("merge"), "root").repartitionByRange("root", "label", "c").sortWithinPartitions("root", "label", "c"), "jaccard-tries")
+    discard(full)
+    return tries
+
+
+def _walk(tries: DataFrame, least: int, most: int) -> DataFrame:
+    """v, root: components of what the walk connects."""
+    found = None
+    for depth in range(DEPTH, least - 1, -1):
+        own = tries.withColumn("prefix", F.expr(f"substring(label, 1, {LEVEL * depth})")).drop("label")
+        if found is None:
+            own = own.withColumn("comp", F.col("c"))
+        else:
+            own = own.join(found.select(F.col("v").alias("c"), F.col("root").alias("comp")).hint("merge"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+        sizes = own.groupBy("root", "prefix").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        mixed = written(sizes.where("lo <> hi").select("root", "prefix", F.expr(_blocks("m")).cast("int").alias("nb")), "jaccard-mixed")
+        if found is not None and not mixed.take(1):
+            continue
+        rows = _dealt(own.join(mixed.hint("merge"), ["root", "prefix"]), "nb", "root", "prefix")
+        edges = rows.select("g", "blk", "across", "comp", "c", "bits").mapInArrow(_near_edges(most), "a binary, b binary")
+        if found is not None:
+            edges = edges.unionByName(found.select(F.col("v").alias("a"), F.col("root").alias("b")))
+        new = written(components(edges), "jaccard-walk")
+        discard(mixed, *([found] if found is not None else []))
+        found = new
+    return found
+
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (4, 5), width: int = 5, recall: float = 0.99999, margin: float = 0.2) -> DataFrame:
+    """A row for every document: id, rk (key of id and text), c (class), class_id (least id among equal
+    sets), n_links (classes linked with its own), group_id (least id among all that links connect), and
     group_rk (the key of the row that stands first in the group)."""
     level = threshold[0] / threshold[1]
     identity, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    signed = written(_signed(docs, identity, text, prefix_for(level, recall), width), "jaccard-signatures")
+    signed = written(_signed(docs, identity, text, width), "jaccard-signatures")
     first = F.min(F.struct(F.col("id").isNull().alias("x"), "id", "rk"))
     reps = written(
-        signed.where("c IS NOT NULL").groupBy("c").agg(first.alias("f"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig")),
+        signed.where("c IS NOT NULL").groupBy("c").agg(first.alias("f"), F.first("n").alias("n"), F.first("labels").alias("labels"), F.first("bits").alias("bits")),
         "jaccard-classes",
     )
-    nodes = reps.select("c", F.posexplode("keys").alias("t", "key"))
-    full = written(nodes.groupBy("t", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "jaccard-nodes")
-    members = nodes.join(full.hint("merge"), ["t", "key"]).withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
-    dealt = _dealt(members, "nb", "t", "key").select("c", "blk", "across", "g").join(reps.select("c", "sig").hint("merge"), "c")
-    least = math.floor((level - margin) * TREES * DEPTH)
-    edges = dealt.select("g", "blk", "across", "c", "sig").repartition("g").sortWithinPartitions("g").mapInArrow(_near_edges(least), "a binary, b binary")
-    comps = written(components(edges).select(F.col("v").alias("c"), F.col("root").alias("comp")), "jaccard-components")
-
-    picked = comps.join(reps.select("c", F.col("f.rk").alias("rk"), "n"), "c")
-    sizes = picked.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
-    picked = written(picked.join(written(sizes, "jaccard-sizes"), "comp").select("rk", "c", "comp", "nb"), "jaccard-picked")
+    least = prefix_for(level, recall)
+    tries = _tries(reps, least)
+    comps = _walk(tries, least, int((1 - level + margin) * TREES * DEPTH / 2)).select(F.col("v").alias("c"), F.col("root").alias("comp"))
+    discard(tries)
+
+    picked = comps.join(reps.select("c", F.col("f.rk").alias("rk"), "n").hint("merge"), "c")
+    sizes = picked.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n")).select("comp", F.expr(f"cast(greatest({_blocks('m')}, ceil(n / {BLOCK_SHINGLES})) as int)").alias("nb"))
+    picked = written(picked.join(written(sizes, "jaccard-sizes").hint("merge"), "comp").select("rk", "c", "comp", "nb"), "jaccard-picked")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingles(x.as_py(), width) for x in b.column("t")]
-            right = [k for k, (s, c) in enumerate(zip(found, b.column("c").to_pylist(), strict=True)) if len(s) and class_key(s) == c]
-            ends = np.cumsum([0, *(len(found[k]) for k in right)], dtype=np.int32)
-            flat = np.concatenate([found[k] for k in right]) if right else np.zeros(0, np.int64)
-            kept = b.take(pa.array(right, pa.int32()))
-            yield pa.RecordBatch.from_arrays([kept.column("c"), kept.column("comp"), kept.column("nb"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["c", "comp", "nb", "s"])
-
-    texts = docs.select(F.xxhash64(identity, text).alias("rk"), text.alias("t")).join(picked.hint("merge"), "rk")
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
+                found = [shingles(x.as_py(), width) for x in part.column("t")]
+                right = [k for k, (s, c) in enumerate(zip(found, part.column("c").to_pylist(), strict=True)) if len(s) and class_key(s) == c]
+                ends = np.cumsum([0, *(len(found[k]) for k in right)], dtype=np.int32)
+                flat = np.concatenate([found[k] for k in right]) if right else np.zeros(0, np.int64)
+                kept = part.take(pa.array(right, pa.int32()))
+                yield pa.RecordBatch.from_arrays([kept.column("c"), kept.column("comp"), kept.column("nb"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["c", "comp", "nb", "s"])
+
+    texts = docs.select(row_key(identity, text).alias("rk"), text.alias("t")).join(picked.hint("merge"), "rk")
     payload = written(texts.mapInArrow(sets, "c binary, comp binary, nb int, s array<bigint>"), "jaccard-sets")
-    # rows that are equal bring their set twice
-    payload = payload.dropDuplicates(["c"])
+    # the least class of a component names it: its pivot; a row that comes twice would double its component
+    pivots = payload.where("c = comp").groupBy("comp").agg(F.first("s").alias("p"))
+    lost = F.array_except("p", "s")
+    apart = payload.join(pivots.hint("merge"), "comp").select(
+        "comp", "c", "nb", F.size("s").alias("n"), F.size("p").alias("pivot"), F.size(lost).alias("lost"), F.concat(lost, F.array_except("s", "p")).alias("d")
+    )
     verified = written(
-        _dealt(payload, "nb", "comp").select("g", "blk", "across", "comp", "c", "s").repartition("g").sortWithinPartitions("g").mapInArrow(_links(*threshold), "c binary, links bigint, root binary"),
+        _dealt(apart, "nb", "comp").select("g", "blk", "across", "comp", "c", "n", "pivot", "lost", "d").mapInArrow(_links(*threshold), "c binary, links bigint, root binary"),
         "jaccard-links",
     )
+    discard(payload, picked)
     links = verified.groupBy("c").agg(F.sum("links").alias("n_links"))
     groups = components(verified.where("c <> root").select(F.col("c").alias("a"), F.col("root").alias("b"))).select(F.col("v").alias("c"), F.col("root").alias("grp"))
-    classes = written(reps.select("c", "f").join(links, "c", "left").join(groups, "c", "left").withColumn("grp", F.coalesce("grp", "c")), "jaccard-classes")
+    classes = written(reps.select("c", "f").join(links.hint("merge"), "c", "left").join(groups.hint("merge"), "c", "left").withColumn("grp", F.coalesce("grp", "c")), "jaccard-classes")
+    discard(verified, reps)
     heads = written(classes.groupBy("grp").agg(F.min("f").alias("h")), "jaccard-heads")
     known = written(
-        classes.join(heads, "grp").select("c", F.col("f.id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("h.id").alias("group_id"), F.col("h.rk").alias("group_rk")),
+        classes.join(heads.hint("merge"), "grp").select("c", F.col("f.id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("h.id").alias("group_id"), F.col("h.rk").alias("group_rk")),
         "jaccard-known",
     )
-    return (
-        signed.select("id", "rk", "c").join(known, "c", "left")
-        .select("id", "rk", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("group_id")).alias("group_id"), F.when(F.col("c").isNull(), F.col("rk")).otherwise(F.col("group_rk")).alias("group_rk"))
-    )
+    discard(classes, heads)
+    own = signed.select("id", "rk", "c")
+    worded = own.where("c IS NOT NULL").join(known.hint("merge"), "c").select("id", "rk", "c", "class_id", "n_links", "group_id", "group_rk")
+    wordless = own.where("c IS NULL").select("id", "rk", "c", F.lit(None).cast(own.schema["id"].dataType).alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("group_id"), F.col("rk").alias("group_rk"))
+    return worded.unionByName(wordless)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = (4, 5)) -> DataFrame:
-    """The first document (by id) of every group, with its own columns only; documents without words stay."""
-    found = jaccard_groups(docs, id_col, text_col, threshold)
-    rows = written(found.where("rk = group_rk").groupBy("rk").agg(F.count(F.lit(1)).alias("__copies")), "jaccard-first")
-    key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    """The first document (by id) of every group, with its own columns only; all documents without words
+    stay, repeated ones too."""
+    found = jaccard_groups(docs, id_col, text_col, threshold).where("rk = group_rk")
+    rows = written(found.groupBy("rk").agg(F.count(F.lit(1)).alias("__copies"), F.max(F.col("c").isNull()).alias("__wordless")), "jaccard-first")
     own = [F.col(f"`{c}`") for c in docs.columns]
-    kept = docs.withColumn("__rk", key).join(rows.withColumnRenamed("rk", "__rk"), "__rk")
-    wordless = F.coalesce(F.trim(F.col(f"`{text_col}`")), F.lit("")) == ""
-    once = kept.where((F.col("__copies") == 1) | wordless).select(*own)
-    return once.unionByName(kept.where((F.col("__copies") > 1) & ~wordless).dropDuplicates(["__rk"]).select(*own))
+    kept = docs.withColumn("__rk", row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))).join(rows.withColumnRenamed("rk", "__rk").hint("merge"), "__rk")
+    once = F.expr("__copies = 1 OR __wordless")
+    return kept.where(once).select(*own).unionByName(kept.where(~once).dropDuplicates(["__rk"]).select(*own))
