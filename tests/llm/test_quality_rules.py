@@ -54,24 +54,66 @@ def test_posterior_separates_junk_and_keeps_clean(spark):
 def test_em_matches_an_independent_loop():
     import math
 
-    counts = {1 * 3**0 + 2 * 3**1 + 1 * 3**2: 50, 0 * 3**0 + 0 * 3**1 + 1 * 3**2: 10, 1 * 3**0 + 2 * 3**1 + 0 * 3**2: 5}
+    counts = {1 * 3**0 + 2 * 3**1 + 1 * 3**2: 50, 0 * 3**0 + 0 * 3**1 + 1 * 3**2: 10, 1 * 3**0 + 2 * 3**1 + 0 * 3**2: 5, 2 + 3 * 2 + 9 * 2: 300}
     got = Q.fit(counts, 3, rounds=20)
     votes = {k: [(k // 3**j) % 3 - 1 for j in range(3)] for k in counts}
-    acc, prior = [0.8] * 3, 0.7
-    for _ in range(20):
+    good, bad, prior = [0.98] * 3, [0.3] * 3, 0.8
+
+    def chances():
         post = {}
         for k, v in votes.items():
-            z = math.log(prior / (1 - prior)) + sum(s * math.log(a / (1 - a)) for s, a in zip(v, acc))
-            post[k] = 1 / (1 + math.exp(-z))
-        acc2 = []
+            yes, no = prior, 1 - prior
+            for j, s in enumerate(v):
+                yes *= good[j] if s > 0 else 1 - good[j] if s < 0 else 1
+                no *= 1 - bad[j] if s > 0 else bad[j] if s < 0 else 1
+            post[k] = yes / (yes + no)
+        return post
+
+    for _ in range(20):
+        post = chances()
         for j in range(3):
-            n = sum(counts[k] for k in counts if votes[k][j])
-            right = sum(counts[k] * (post[k] if votes[k][j] > 0 else 1 - post[k]) for k in counts if votes[k][j])
-            acc2.append(min(0.98, max(0.7, (right + 0.8 * n) / (2 * n))) if n else 0.8)
-        acc = acc2
+            g = sum(counts[k] * post[k] for k in counts if votes[k][j])
+            b = sum(counts[k] * (1 - post[k]) for k in counts if votes[k][j])
+            good[j] = min(0.999, max(0.001, (sum(counts[k] * post[k] for k in counts if votes[k][j] > 0) + 98) / (g + 100)))
+            bad[j] = (sum(counts[k] * (1 - post[k]) for k in counts if votes[k][j] < 0) + 30) / (b + 100)
+            bad[j] = min(0.999, max(0.001, 1 - good[j], bad[j]))
         total = sum(counts.values())
-        prior = min(0.7, max(0.3, (sum(counts[k] * post[k] for k in counts) + 0.7 * total) / (2 * total)))
-    assert all(abs(got.posterior[k] - post[k]) < 1e-9 for k in counts)
+        prior = (sum(counts[k] * post[k] for k in counts) + 80) / (total + 100)
+    post = chances()
+    assert all(math.isclose(got.posterior[k], post[k], abs_tol=1e-9) for k in counts)
+
+
+def digits(*votes):
+    return sum((v + 1) * 3**k for k, v in enumerate(votes))
+
+
+def test_the_posterior_overrules_single_rules_both_ways():
+    """A rule that speaks against good and bad texts alike is not heard; one that is hardly ever wrong
+    outweighs three that see nothing. Fixed rates give other verdicts for both."""
+    import numpy as np
+
+    good, shouting = digits(1, 1, 1, 1, 1), digits(1, -1, -1, 1, 1)
+    noise, junk = digits(-1, 1, 1, 1, 1), digits(-1, -1, -1, 1, 1)
+    alone = digits(1, -1, 1, 1, 1)
+    counts = {good: 8000, noise: 2000, shouting: 800, junk: 200, alone: 60, digits(1, 1, -1, 1, 1): 3}
+    m = Q.fit(counts, 5)
+    assert m.posterior[noise] > 0.9 and m.posterior[alone] < 0.5 and m.posterior[good] > 0.99 and m.posterior[shouting] < 0.01
+    votes = np.array([[-1, 1, 1, 1, 1], [1, -1, 1, 1, 1]])
+    fixed = Q.posteriors(votes, 0.8, np.full(5, 0.8), np.full(5, 0.8))
+    assert fixed[1] > 0.5 and m.posterior[alone] < 0.5
+    strict = [all(v >= 0 for v in row) for row in votes.tolist()]
+    assert not strict[0] and m.posterior[noise] > 0.5
+    assert m.on_good[0] < 0.85 and m.on_bad[1] > 0.9
+
+
+def test_what_it_starts_from_is_outgrown():
+    few, many = ({digits(-1, 1, 1): n // 2, digits(1, 1, 1): n // 2, digits(1, -1, -1): n // 4} for n in (20, 200_000))
+    assert Q.fit(few, 3).on_good[0] > 0.85 and abs(Q.fit(many, 3).on_good[0] - 0.5) < 0.01
+
+
+def test_texts_are_measured_once(spark):
+    out = Q.quality_rules(docs(spark, texts()))
+    assert "Python" not in out._jdf.queryExecution().toString() and "Arrow" not in out._jdf.queryExecution().toString()
 
 
 def test_empty_and_extra_columns(spark):
