@@ -61,6 +61,36 @@ def test_short_repeated_runs_go_by_default(spark):
     assert got[1] == (1, "two\n") and got[3] == (1, "four\n") and got[5][0] == 0 and got[6] == (3, "")
 
 
+def lined(n, of):
+    return "\n".join(f"line {k} {'again' if k % of == 0 else k * 7}" if k % of else f"again {k // of % 900}" for k in range(n))
+
+
+def test_very_long_texts_take_time_in_proportion(spark):
+    """100,000 lines, a third of them repeated; and four times the lines in well under sixteen times the time."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    def run(n):
+        start = time.time()
+        got = L.line_dedup(docs(spark, [(0, lined(n, 3)), (1, lined(n, 3))])).select("doc_id", "__lines.n_lines", "__lines.n_removed", F.length("__lines.text").alias("left")).collect()
+        return time.time() - start, {r.doc_id: tuple(r)[1:] for r in got}
+
+    run(1000)
+    short, _ = run(10_000)
+    long, _ = run(40_000)
+    _, got = run(100_000)
+    assert got == {0: (100_000, 33_334 - 900, got[0][2]), 1: (100_000, 100_000, 0)}
+    assert long < 4 * short + 5
+
+
+def test_ranks_are_the_order_of_windows(spark):
+    rows = [(0, 0, p, w % 3, w // 3) for p, w in enumerate([5, 2, 5, 8, 2, 2, 7, 8, 0])]
+    d = spark.createDataFrame(rows, "i long, k long, p int, a int, b int")
+    got = {(r.a, r.b): (r["rank"], r["first"].p) for r in L._classes(d, ["a", "b"]).collect()}
+    assert got == {(2, 0): (1, 1), (2, 1): (2, 0), (2, 2): (3, 3)}
+
+
 def test_no_python_on_the_main_path(spark):
     plan = L.line_dedup(docs(spark, ["a", "b"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
