@@ -69,8 +69,8 @@ WITH lines AS (
   UNION ALL SELECT doc_id, max(p) + 1, sum(length(line)) FROM lines GROUP BY doc_id
 ), reached AS (
   SELECT doc_id, q,
-    min(q) OVER (PARTITION BY doc_id ORDER BY v RANGE BETWEEN 32 FOLLOWING AND UNBOUNDED FOLLOWING) AS e,
-    max(q) OVER (PARTITION BY doc_id ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND 32 PRECEDING) AS b
+    min(q) OVER (PARTITION BY doc_id ORDER BY v RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS e,
+    max(q) OVER (PARTITION BY doc_id ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b
   FROM bounds
 ), units AS (
   SELECT doc_id, q AS p, e - q AS n FROM reached WHERE e IS NOT NULL
