@@ -21,10 +21,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         # large-star: what is larger than u hangs on u's least neighbour (or u)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # as a table of its own: a join right above the aggregate could not split a vertex of many edges
+        least = written(least, "component-least")
         large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.distinct(), "component-large")
+        discard(least)
         # small-star: u and what is smaller than u hang on u's least neighbour
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "component-least")
         small = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         new = written(small.distinct(), "component-edges")
         # stars: every u once, no v that hangs on something
@@ -32,7 +35,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
             new.select("v").join(new.select(F.col("u").alias("v")), "v", "left_semi").select(F.col("v").alias("u"), F.lit(1).cast("long").alias("n")).limit(1)
         )
         settled = not loose.take(1)
-        discard(e, large)
+        discard(e, large, least)
         e = new
         if settled:
             break

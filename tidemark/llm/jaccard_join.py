@@ -6,13 +6,14 @@
     kept sorted, as a table dealt by ranges of (node at the least depth, label, class), so that the members of
     a node are a run of rows and a large node spans several tasks. Classes that share no node of the least
     depth with another are in no table.
-3.  The walk starts at whole labels. At each depth, the members of every node that holds classes not yet
-    known to be connected are compared by one bit of every minimum; pairs within ``margin`` of the threshold
-    connect. Then the prefix is shortened by one, for those only whose node still holds classes that they are
-    not connected with, down to the depth at which the chance that a pair at the threshold meets in some
-    tree reaches the target recall (``prefix_for``). A cluster of near copies is so put together in the deep,
-    narrow nodes and costs nothing in the shallow, wide ones. Counts of members are partial sums; a node of
-    many members is dealt into blocks (about the root of its size in number), and block meets block.
+3.  The walk starts at whole labels, where each class is compared, by one bit of every minimum, with the first
+    of its node; pairs within ``margin`` of the threshold connect. Then, at each depth from there on, nodes
+    that hold classes not yet known to be connected have all pairs across their components compared: those
+    outside the largest component meet all others. The prefix is shortened by one, for those only whose
+    node still holds classes that they are not connected with, down to the depth at which the chance that
+    a pair at the threshold meets in some tree reaches the target recall (``prefix_for``). A cluster of near
+    copies is so put together by its first members, and costs nothing in the shallow, wide nodes. Counts of
+    members are partial sums; both sides of a node are dealt into blocks, and block meets block.
 4.  Components of these edges hold all pairs that can be links. Their texts come back once, as sets; each is
     written down as its difference from the component's pivot (its least class), which is short for near
     copies, and all intersections follow from those differences and their sizes, by matrix products in the
@@ -179,27 +180,39 @@ def _codes(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
 
 
+def _packed(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def _near_first(most: int):  # noqa: ANN202
+    """Edges (a, b) between members and the first of their node, with ``most`` unequal bits or fewer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = np.bitwise_count(_packed(batch.column("bits")) ^ _packed(batch.column("first_bits"))).sum(axis=1) <= most
+            yield batch.select(["c", "first"]).filter(pa.array(near)).rename_columns(["a", "b"])
+
+    return run
+
+
 def _near_edges(most: int):  # noqa: ANN202
-    """Edges (a, b) between members of a node, of different components, with ``most`` unequal bits or fewer."""
+    """Edges (a, b) between members of a node, of different components, with ``most`` unequal bits or fewer;
+    ``asks`` marks the rows that are compared with the others of their group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "g"):
-            g = table.column("g").to_numpy()
-            blk, across = table.column("blk").to_numpy(), table.column("across").to_numpy()
+            g, asks = table.column("g").to_numpy(), table.column("asks").to_numpy()
             comp, c = _codes(table.column("comp")), table.column("c").to_pylist()
-            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(c), -1)
+            bits = _packed(table.column("bits"))
             a, b = [], []
             for start, end in _bounds(g):
-                x, own, side = bits[start:end], comp[start:end], blk[start:end]
+                x, own, asked = bits[start:end], comp[start:end], asks[start:end]
                 groups = Union(end - start)
-                for k in range(end - start - 1):
-                    rest = slice(k + 1, None)
-                    near = np.bitwise_count(x[rest] ^ x[k]).sum(axis=1) <= most
-                    near &= own[rest] != own[k]
-                    if across[start + k]:  # each block meets itself elsewhere
-                        near &= side[rest] != side[k]
+                for k in np.flatnonzero(asked).tolist():
+                    near = np.bitwise_count(x ^ x[k]).sum(axis=1) <= most
+                    near &= ~asked & (own != own[k])
                     if near.any():
-                        groups.join(k, k + 1 + np.flatnonzero(near))
+                        groups.join(k, np.flatnonzero(near))
                 for v in np.flatnonzero(groups.label != np.arange(end - start)).tolist():
                     a.append(c[start + v])
                     b.append(c[start + int(groups.label[v])])
@@ -305,26 +318,37 @@ def _tries(reps: DataFrame, least: int) -> DataFrame:
     return tries
 
 
+def _at(tries: DataFrame, depth: int) -> DataFrame:
+    """The members with their node at this depth: root and prefix."""
+    return tries.withColumn("prefix", F.expr(f"substring(label, 1, {LEVEL * depth})")).drop("label")
+
+
 def _walk(tries: DataFrame, least: int, most: int) -> DataFrame:
     """v, root: components of what the walk connects."""
-    found = None
+    own, node = _at(tries, DEPTH), ["root", "prefix"]
+    firsts = written(own.groupBy(*node).agg(F.min(F.struct("c", "bits")).alias("f"), F.count(F.lit(1)).alias("m")).where("m > 1").select(*node, F.col("f.c").alias("first"), F.col("f.bits").alias("first_bits")), "jaccard-firsts")
+    edges = own.join(firsts.hint("merge"), node).where("c <> first").select("c", "bits", "first", "first_bits").mapInArrow(_near_first(most), "a binary, b binary")
+    found = written(components(edges), "jaccard-walk")
+    discard(firsts)
     for depth in range(DEPTH, least - 1, -1):
-        own = tries.withColumn("prefix", F.expr(f"substring(label, 1, {LEVEL * depth})")).drop("label")
-        if found is None:
-            own = own.withColumn("comp", F.col("c"))
-        else:
-            own = own.join(found.select(F.col("v").alias("c"), F.col("root").alias("comp")).hint("merge"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-        sizes = own.groupBy("root", "prefix").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        mixed = written(sizes.where("lo <> hi").select("root", "prefix", F.expr(_blocks("m")).cast("int").alias("nb")), "jaccard-mixed")
-        if found is not None and not mixed.take(1):
-            continue
-        rows = _dealt(own.join(mixed.hint("merge"), ["root", "prefix"]), "nb", "root", "prefix")
-        edges = rows.select("g", "blk", "across", "comp", "c", "bits").mapInArrow(_near_edges(most), "a binary, b binary")
-        if found is not None:
-            edges = edges.unionByName(found.select(F.col("v").alias("a"), F.col("root").alias("b")))
-        new = written(components(edges), "jaccard-walk")
-        discard(mixed, *([found] if found is not None else []))
-        found = new
+        named = found.select(F.col("v").alias("c"), F.col("root").alias("comp")).hint("merge")
+        own = written(_at(tries, depth).join(named, "c", "left").withColumn("comp", F.coalesce("comp", "c")), "jaccard-members")
+        parts = own.groupBy(*node, "comp").agg(F.count(F.lit(1)).alias("m"))
+        sizes = parts.groupBy(*node).agg(F.sum("m").alias("m"), F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        blocks = [F.expr(f"cast({_blocks(n)} as int)").alias(name) for n, name in (("m", "nb"), ("(m - top.m)", "na"))]
+        mixed = written(sizes.select(*node, F.col("top.comp").alias("most"), *blocks), "jaccard-mixed")
+        if mixed.take(1):
+            rows = own.join(mixed.hint("merge"), node).withColumn("of", F.xxhash64(F.lit(5), "c"))
+            kept = ["g", "asks", "comp", "c", "bits"]
+            # those outside the largest component meet each block of all; all meet each block of those
+            asking = rows.where("comp <> most").withColumn("x", F.pmod("of", "na")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("asks", F.lit(True))
+            asked = rows.withColumn("y", F.pmod("of", "nb")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("asks", F.lit(False))
+            dealt = [t.withColumn("g", F.xxhash64(*node, F.col("x").cast("int"), F.col("y").cast("int"))).select(*kept) for t in (asking, asked)]
+            edges = dealt[0].unionByName(dealt[1]).repartition("g").sortWithinPartitions("g").mapInArrow(_near_edges(most), "a binary, b binary")
+            new = written(components(edges.unionByName(found.select(F.col("v").alias("a"), F.col("root").alias("b")))), "jaccard-walk")
+            discard(found)
+            found = new
+        discard(own, mixed)
     return found
 
 
