@@ -9,163 +9,228 @@ whose second term is the class-prior-corrected risk of the negatives; where it w
 step goes the other way, so the model cannot overfit by pretending that U has fewer negatives than none.
 The prior is the share of positives among the labelled rows of the learning folds.
 
+Features: that a word, or a beginning of one of SHORTEST to LONGEST bytes, comes at least once, twice, four
+times. All of them take part, hashed to DIMENSIONS places, so the model has one size at every size of the
+corpus. A feature's value is larger the more significant its excess in P over U is (a likelihood ratio), and
+next to nothing where it could be chance; so few positives do not drown in words that tell nothing.
+
 Bounds, which are parameters: the classifier is fitted on at most ``max_positive`` positives and
-``max_unlabelled`` unlabelled documents, picked by a hash of the id over all rows, and at most
-``max_features`` features, those whose share in P exceeds that in U most significantly (counted with
-partial sums over the sample). Whole texts are read, and every document is scored, where it lies.
-
-Defined cases: null and empty texts have no features, so they get the intercept's score; without any
-positive in the learning folds every score is next to 0; rows of equal text have equal scores; labels
-for unknown ids, null labels and null ids are ignored; a label repeated for an id counts once (toxic if any
-is). Empty tables give empty results; other columns pass through.
+``max_unlabelled`` unlabelled documents, picked by a hash of the id over all rows. Whole texts are read, and
+every document is scored, where it lies.
+
+Defined cases: null and empty texts have no features, so they get the intercept's score; very long texts have
+the features of all their words; without any positive in the learning folds every score is next to 0; rows
+of equal text have equal scores; labels for unknown ids, null labels and null ids are ignored; a label repeated
+for an id counts once (toxic if any is). Empty tables give empty results; other columns pass through, whatever
+their names.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_words, written
+from tidemark.llm.common import ascii_words, discard, written
 
 SHORTEST, LONGEST = 4, 8
 #: A feature says that a word or beginning comes at least so many times.
 TIMES = (1, 2, 4)
+DIMENSIONS = 1 << 18
+
+
+class Parts:
+    """Hashes of words and their beginnings, remembered up to a bound."""
+
+    def __init__(self, most: int = 400_000):
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.first, self.count, self.hashes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+    def learn(self, words: set[bytes]) -> None:
+        known = list(words)
+        parts = [[w, *(w[:k] + b"-" for k in range(SHORTEST, min(LONGEST, len(w) - 1) + 1))] for w in known]
+        self.number.update(zip(known, range(len(self.number), len(self.number) + len(known)), strict=True))
+        count = np.array([len(x) for x in parts], np.int64)
+        self.first = np.concatenate([self.first, len(self.hashes) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.hashes = np.concatenate([self.hashes, np.array([xxhash.xxh3_64_intdigest(x) for own in parts for x in own], np.uint64)])
+
+    def features(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Text and place of every feature, in order."""
+        if len(self.number) > self.most:
+            self.forget()
+        words = [ascii_words(x.lower()) if x else [] for x in texts]
+        flat = [w for own in words for w in own]
+        if new := set(flat) - self.number.keys():
+            self.learn(new)
+        number = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+        count = self.count[number]
+        at = np.repeat(self.first[number] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        text = np.repeat(np.repeat(np.arange(len(texts)), [len(w) for w in words]), count)
+        # one sort: the text, then the hash's place; what shares both is one part
+        key, n = np.unique(text.astype(np.uint64) << np.uint64(40) | self.hashes[at] >> np.uint64(24), return_counts=True)
+        rows, places = [], []
+        for t in TIMES:
+            own = key[n >= t]
+            mixed = (own & np.uint64((1 << 40) - 1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(t * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
+            mixed ^= mixed >> np.uint64(32)
+            rows.append((own >> np.uint64(40)).astype(np.int64))
+            places.append((mixed & np.uint64(DIMENSIONS - 1)).astype(np.int32))
+        row, place = np.concatenate(rows), np.concatenate(places)
+        order = np.argsort(row, kind="stable")
+        return row[order], place[order]
+
+
+_parts = Parts()
+
+
+@dataclass(frozen=True, eq=False)
+class Model:
+    bias: float
+    weights: np.ndarray
 
-
-def counted(words: list[bytes], only: frozenset[bytes] | None = None) -> Counter[bytes]:
-    """How often words, and beginnings of words in SHORTEST to LONGEST bytes (marked with a hyphen), come."""
-    out: Counter[bytes] = Counter()
-    for w, n in Counter(words).items():
-        parts = [w] if len(w) <= 24 else []
-        parts += [w[:k] + b"-" for k in range(SHORTEST, min(LONGEST, len(w) - 1) + 1)]
-        for x in parts:
-            if only is None or x in only:
-                out[x] += n
-    return out
+    def logits(self, texts: list[str | None]) -> np.ndarray:
+        row, place = _parts.features(texts)
+        return self.bias + np.bincount(row, self.weights[place], len(texts)) if len(row) else np.full(len(texts), self.bias)
 
 
-def features(text: str | None) -> set[bytes]:
-    words = ascii_words(text.lower()) if text else []
-    return {b"%d %s" % (t, x) for x, n in counted(words).items() for t in TIMES if n >= t}
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 @dataclass(frozen=True)
-class Model:
-    bias: float
-    weights: dict[bytes, float]
+class Sparse:
+    """Rows of features: from ``starts[k]`` to ``starts[k + 1]`` the places and values of row k."""
 
-    def __post_init__(self) -> None:
-        names = frozenset(w.partition(b" ")[2] for w in self.weights)
-        object.__setattr__(self, "names", names)
-        object.__setattr__(self, "gate", frozenset(x.rstrip(b"-")[:SHORTEST] for x in names))
+    starts: np.ndarray
+    places: np.ndarray
+    values: np.ndarray
 
-    def logit(self, text: str | None) -> float:
-        if not text or not self.weights:
-            return self.bias
-        near = [w for w in ascii_words(text.lower()) if w[:SHORTEST] in self.gate]
-        found = counted(near, self.names)
-        return self.bias + sum(self.weights.get(b"%d %s" % (t, x), 0.0) for x in sorted(found) for t in TIMES if found[x] >= t)
+    def __len__(self) -> int:
+        return len(self.starts) - 1
 
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0.0], np.cumsum(self.values * w[self.places], dtype=np.float64)])
+        return sums[self.starts[1:]] - sums[self.starts[:-1]]
 
-def sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    def back(self, r: np.ndarray, size: int) -> np.ndarray:
+        return np.bincount(self.places, self.values * np.repeat(r, np.diff(self.starts)), size)
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> tuple[float, np.ndarray]:
-    """Non-negative PU risk with the logistic loss, full batches, Adam. Rows are documents, columns 0/1."""
-    k = positive.shape[1]
-    w = np.zeros(k + 1)
-    w[0] = np.log(prior / (1 - prior))
-    m, v = np.zeros(k + 1), np.zeros(k + 1)
+def risk_and_gradient(positive: Sparse, unlabelled: Sparse, prior: float, w: np.ndarray) -> tuple[float, float, np.ndarray]:
+    """Of weights (the first: the intercept): the risk of positives, the corrected risk of negatives, and the
+    gradient of the non-negative risk's step, all for the logistic loss."""
 
-    def gradient(x: np.ndarray, s: np.ndarray) -> np.ndarray:
+    def gradient(x: Sparse, g: np.ndarray, s: float) -> np.ndarray:
         """Of the mean of log(1 + exp(-s g)); s: the sign."""
-        r = -s * sigmoid(-s * (w[0] + x @ w[1:])) / max(len(x), 1)
-        return np.concatenate([[r.sum()], x.T @ r])
+        r = -s * sigmoid(-s * g) / max(len(x), 1)
+        return np.concatenate([[r.sum()], x.back(r, len(w) - 1)])
+
+    g_p, g_u = (w[0] + x.dot(w[1:]) for x in (positive, unlabelled))
+    mean = [float(np.logaddexp(0, -s * g).mean()) if len(g) else 0.0 for g, s in ((g_p, 1.0), (g_u, -1.0), (g_p, -1.0))]
+    negative = mean[1] - prior * mean[2]
+    corrected = gradient(unlabelled, g_u, -1.0) - prior * gradient(positive, g_p, -1.0)
+    return prior * mean[0], negative, prior * gradient(positive, g_p, 1.0) + corrected if negative >= 0 else -corrected
 
-    def risk(x: np.ndarray, s: float) -> float:
-        return float(np.logaddexp(0, -s * (w[0] + x @ w[1:])).mean()) if len(x) else 0.0
 
+def train(positive: Sparse, unlabelled: Sparse, prior: float, size: int, steps: int = 200, rate: float = 0.1, decay: float = 1e-4) -> tuple[float, np.ndarray]:
+    """Full batches, Adam."""
+    w = np.zeros(size + 1)
+    w[0] = np.log(prior / (1 - prior))
+    m, v = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
-        negative = risk(unlabelled, -1.0) - prior * risk(positive, -1.0)
-        corrected = gradient(unlabelled, -1.0) - prior * gradient(positive, -1.0)
-        g = prior * gradient(positive, 1.0) + corrected if negative >= 0 else -corrected
+        g = risk_and_gradient(positive, unlabelled, prior, w)[2]
         g[1:] += decay * w[1:]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return float(w[0]), w[1:]
 
 
+def significance(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
+    """Log likelihood ratio of a Poisson count in P against what U leads to expect; 0 without an excess."""
+    expected = (u + 1) * (n_p / (n_u + 1))
+    return np.where(p > expected, p * np.log(np.maximum(p, 1) / expected) - p + expected, 0.0)
+
+
 def fold(identity: Column, folds: int = 5) -> Column:
     return F.crc32(identity.cast("string").cast("binary")) % folds
 
 
-def learn(docs: DataFrame, labels: DataFrame, learning: Column | None = None, max_positive: int = 8_000, max_unlabelled: int = 12_000, max_features: int = 400, least: float = 14.0) -> Model:
-    """``learning``: a condition on doc_id that rows used for learning must meet."""
+def learn(docs: DataFrame, labels: DataFrame, learning: Column | None = None, max_positive: int = 8_000, max_unlabelled: int = 12_000, half: float = 14.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """``learning``: a condition on the id that rows used for learning must meet. ``half``: the significance at
+    which a feature has half of its full value. ``labels``: the id, toxic."""
     learning = F.lit(True) if learning is None else learning
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learning).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    identity = F.col(f"`{id_col}`")
+    known = labels.where(identity.isNotNull() & F.col("toxic").isNotNull() & learning).groupBy(identity.alias("i")).agg(F.max("toxic").alias("toxic"))
     n, toxic = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not toxic:
-        return Model(-20.0, {})
+        return Model(-20.0, np.zeros(DIMENSIONS))
     prior = min(max(toxic / n, 1e-4), 0.9)
-    positives = known.where("toxic = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_positive)
-    anyone = docs.where(F.col("doc_id").isNotNull() & learning).select("doc_id").distinct().orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(max_unlabelled)
+    positives = known.where("toxic = 1").select("i").orderBy(F.xxhash64("i"), "i").limit(max_positive)
+    anyone = docs.where(identity.isNotNull() & learning).select(identity.alias("i")).distinct().orderBy(F.xxhash64(F.lit(1), "i"), "i").limit(max_unlabelled)
     picked = (
-        positives.select("doc_id", F.lit(1).alias("p"), F.lit(0).alias("u"))
-        .unionByName(anyone.select("doc_id", F.lit(0).alias("p"), F.lit(1).alias("u")))
-        .groupBy("doc_id").agg(F.max("p").alias("p"), F.max("u").alias("u"))
+        positives.select("i", F.lit(1).alias("p"), F.lit(0).alias("u"))
+        .unionByName(anyone.select("i", F.lit(0).alias("p"), F.lit(1).alias("u")))
+        .groupBy("i").agg(F.max("p").alias("p"), F.max("u").alias("u"))
     )
     # at most max_positive + max_unlabelled ids
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("p", "u", "text"), "toxicity-sample")
+    sample = written(docs.select(identity.alias("i"), F.col(f"`{text_col}`").alias("t")).join(F.broadcast(picked), "i").select("p", "u", "t"), "toxicity-sample")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        in_p: Counter[bytes] = Counter()
-        in_u: Counter[bytes] = Counter()
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p, u, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                found = features(x.as_py())
-                if p:
-                    in_p.update(found)
-                if u:
-                    in_u.update(found)
-        names = list(in_p.keys() | in_u.keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([in_p[x] for x in names], pa.int64()), pa.array([in_u[x] for x in names], pa.int64())], ["f", "p", "u"])
-
-    n_p, n_u = sample.agg(F.sum("p"), F.sum("u")).first()
-    if not n_p or not n_u:
-        return Model(float(np.log(prior / (1 - prior))), {})
-    # log likelihood ratio of a Poisson count in P against what U leads to expect; it holds for small counts
-    # too, where many features are tried
-    expected = (F.col("u") + 1) * F.lit(n_p / (n_u + 1))
-    ratio = F.when(F.col("p") > expected, F.col("p") * F.log(F.col("p") / expected) - F.col("p") + expected).otherwise(0.0)
-    counted = sample.mapInArrow(count, "f binary, p bigint, u bigint").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    chosen = [bytes(r["f"]) for r in counted.withColumn("z", ratio).where(F.col("z") >= least).orderBy(F.desc("z"), "f").limit(max_features).collect()]
-    place = {f: k for k, f in enumerate(chosen)}
-
-    def found(text: pa.Array) -> pa.Array:
-        return pa.array([sorted(place[f] for f in features(x.as_py()) if f in place) for x in text], pa.list_(pa.int32()))
-
-    rows = sample.select("p", "u", F.arrow_udf(found, "array<int>")("text").alias("x")).collect()
-    x_p, x_u = (np.zeros((sum(1 for r in rows if r[side]), len(chosen)), np.float32) for side in ("p", "u"))
-    for side, x in (("p", x_p), ("u", x_u)):
-        for k, r in enumerate(r for r in sorted(rows, key=lambda r: list(r["x"])) if r[side]):
-            x[k, r["x"]] = 1
-    bias, weights = train(x_p, x_u, prior)
-    return Model(bias, dict(zip(chosen, weights.tolist(), strict=True)))
+            for at in range(0, b.num_rows, 200):
+                rows = b.slice(at, 200)
+                row, place = _parts.features(rows.column("t").to_pylist())
+                ends = np.searchsorted(row, np.arange(rows.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([rows.column("p"), rows.column("u"), pa.ListArray.from_arrays(pa.array(ends), pa.array(place))], ["p", "u", "x"])
+
+    # the features of a sample of bounded size
+    rows = sample.mapInArrow(found, "p int, u int, x array<int>").toArrow().combine_chunks()
+    discard(sample)
+    lists = rows.column("x").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.chunk(0)
+    ends, places = lists.offsets.to_numpy(), lists.values.to_numpy()
+    sides = [rows.column(x).to_numpy() == 1 for x in ("p", "u")]
+    if not all(s.any() for s in sides):
+        return Model(float(np.log(prior / (1 - prior))), np.zeros(DIMENSIONS))
+    # in an order of their own, so that sums do not depend on how rows were dealt
+    order = sorted(range(len(ends) - 1), key=lambda k: places[ends[k] : ends[k + 1]].tobytes())
+
+    def of(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = [places[ends[k] : ends[k + 1]] for k in order if side[k]]
+        return np.cumsum([0, *map(len, own)]), np.concatenate(own)
+
+    (start_p, place_p), (start_u, place_u) = map(of, sides)
+    z = significance(np.bincount(place_p, minlength=DIMENSIONS), np.bincount(place_u, minlength=DIMENSIONS), len(start_p) - 1, len(start_u) - 1)
+    value = ((z / half) ** 2 / (1 + (z / half) ** 2)).astype(np.float32)
+
+    def sparse(starts: np.ndarray, at: np.ndarray) -> Sparse:
+        """Without zeros, which no step would move."""
+        some = value[at] > 0
+        return Sparse(np.concatenate([[0], np.cumsum(some)])[starts], at[some], value[at[some]])
+
+    bias, weights = train(sparse(start_p, place_p), sparse(start_u, place_u), prior, DIMENSIONS)
+    return Model(bias, weights * value)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity") -> DataFrame:
     """Adds ``out``: the probability that a document is toxic."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # one array of DIMENSIONS numbers
+    shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
 
     def run(text: pa.Array) -> pa.Array:
-        m = shared.value
-        return pa.array(sigmoid(np.array([m.logit(x.as_py()) for x in text], float)), pa.float64())
+        m = Model(*shared.value)
+        parts = [m.logits(text.slice(at, 200).to_pylist()) for at in range(0, len(text), 200)]
+        return pa.array(sigmoid(np.concatenate([np.zeros(0), *parts])), pa.float64())
 
     return docs.withColumn(out, F.arrow_udf(run, "double")(F.col(f"`{text_col}`")))
