@@ -387,7 +387,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(row_key(identity, text).alias("rk"), text.alias("t")).join(picked.hint("merge"), "rk")
     payload = written(texts.mapInArrow(sets, "c binary, comp binary, nb int, s array<bigint>"), "jaccard-sets")
     # the least class of a component names it: its pivot; a row that comes twice would double its component
-    pivots = payload.where("c = comp").groupBy("comp").agg(F.first("s").alias("p"))
+    pivots = written(payload.where("c = comp").groupBy("comp").agg(F.first("s").alias("p")), "jaccard-pivots")
     lost = F.array_except("p", "s")
     apart = payload.join(pivots.hint("merge"), "comp").select(
         "comp", "c", "nb", F.size("s").alias("n"), F.size("p").alias("pivot"), F.size(lost).alias("lost"), F.concat(lost, F.array_except("s", "p")).alias("d")
@@ -396,7 +396,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         _dealt(apart, "nb", "comp").select("g", "blk", "across", "comp", "c", "n", "pivot", "lost", "d").mapInArrow(_links(*threshold), "c binary, links bigint, root binary"),
         "jaccard-links",
     )
-    discard(payload, picked)
+    discard(payload, picked, pivots)
     links = verified.groupBy("c").agg(F.sum("links").alias("n_links"))
     groups = components(verified.where("c <> root").select(F.col("c").alias("a"), F.col("root").alias("b"))).select(F.col("v").alias("c"), F.col("root").alias("grp"))
     classes = written(reps.select("c", "f").join(links.hint("merge"), "c", "left").join(groups.hint("merge"), "c", "left").withColumn("grp", F.coalesce("grp", "c")), "jaccard-classes")
