@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import functions as F
@@ -66,7 +67,9 @@ def test_stages_against_brute_force(spark, tmp_path):
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     for k, r in seen[4].items():
         assert r.lossless and sp.decode(list(r.ids)) == left[k]
-        plain = [i for u in piece_dropout._UNIT.findall("▁" + left[k].replace(" ", "▁")) for i in enc.agenda(u, r.variant)]
+        units = piece_dropout._UNIT.findall("▁" + left[k].replace(" ", "▁"))
+        keys = piece_dropout.mixed(np.array([r.variant]).view(np.uint64), np.arange(len(units)).astype(np.uint64)).tolist()
+        plain = [i for u, own in zip(units, keys, strict=True) for i in enc.agenda(u, 0, own)]
         assert list(r.ids) == plain
     whole = {r.doc_id: list(r.ids) for r in C.run(spark, str(tmp_path)).collect()}
     assert whole == {k: list(r.ids) for k, r in seen[4].items()}

@@ -5,13 +5,15 @@ of two neighbouring symbols (the leftmost of equals). A candidate merge is the p
 a keyed hash of seed, variant, unit and spans decides whether it is skipped, for good, so the result
 depends on nothing but the key: it is the same on every executor, after every retry.
 
-With ``variants=None`` each unit has a key of its own, from a keyed hash of the document's id (its
-variant) and the unit's place, so all occurrences of a word are cut independently. A worker keeps each
-unit's segmentation without dropout and the candidates that led to it; where an occurrence skips none of
-these, that segmentation is its own, and any other occurrence is merged anew under its key.
+Each unit has a key of its own, from a keyed hash of the document's id (its variant) and the unit's place, so
+all occurrences of a word are cut independently, and their number of segmentations is not bounded. A worker
+remembers decisions, not occurrences: for a unit and a set of skipped candidates, the merges that follow, in
+order, and the segmentation they lead to. An occurrence starts with nothing skipped; the first of the merges
+that its key skips leads to the next decision, and where it skips none it is done. What a key decides is
+the same as if the occurrence were merged on its own; only decisions seen for the first time are merged.
 
-With a number of ``variants``, a document's variant is a keyed hash of its id, dealt into as many classes;
-a word is cut alike in all documents of a class, and a worker cuts it once for each variant.
+With a number of ``variants`` instead, a document's variant is a keyed hash of its id, dealt into as many
+classes, and a word is cut alike in all documents of a class.
 
 Units are what pieces cannot cross: runs of spaces with the word after them, and line feeds. Short units
 of equal length are merged together as numpy matrices; long ones by an agenda (a heap).
@@ -19,8 +21,9 @@ of equal length are merged together as numpy matrices; long ones by an agenda (a
 Decoding joins the pieces' bytes. It gives back the very text: characters without a piece, and the sign
 that stands for a space where the text itself has it, are encoded as bytes.
 
-Defined cases: null and empty texts have no ids and decode to an empty text; a null id has the variant
-of 0; repeated rows have equal ids. Empty tables give empty results; other columns pass through.
+Defined cases: null and empty texts have no ids and decode to an empty text; a null id has the variant of 0;
+repeated rows have equal ids; very long texts are cut whole. Empty tables give empty results; other columns pass
+through, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,15 +39,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import encoded, structs
+from tidemark.llm.common import structs
 
 SPACE = "▁"
 _UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 _NONE = np.int32(1 << 30)
+#: Longer units go by the agenda; places within others fit 7 bits.
 LONG = 64
+SPAN_BITS = 21
 U = np.uint64
 
 
+def spans_coded(start: np.ndarray, mid: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return (start.astype(np.int32) << 14) | (mid.astype(np.int32) << 7) | end.astype(np.int32)
+
+
 def mixed(*parts: np.ndarray | np.uint64) -> np.ndarray:
     """A 64-bit hash of numbers, the same in every process."""
     h = np.array([0x243F6A8885A308D3], U)
@@ -106,7 +115,7 @@ class Pieces:
 
 
 class Encoder:
-    def __init__(self, pieces: Pieces, seed: int = 7, dropout: float = 0.1, most: int = 300_000):
+    def __init__(self, pieces: Pieces, seed: int = 7, dropout: float = 0.1, most: int = 1_000_000):
         if not 0 <= dropout <= 1:
             raise ValueError("dropout is a probability")
         self.pieces, self.seed, self.dropout, self.most = pieces, seed, dropout, most
@@ -117,10 +126,13 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        """Units without dropout: numbers, ids, and the spans of the candidates met. None is the sign itself."""
+        """Decisions: number 0 is the sign itself. By number: ids, unit, skipped candidates (coded); how many
+        merges are as in the decision before, and the rest of them (rows of ``spans`` from ``first`` on).
+        ``follow``: decision and number of the merge that is skipped next, to the decision that follows."""
         self.number: dict[str | None, int] = {None: 0}
-        self.plain = [self.sign]
-        self.first, self.count, self.long = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, bool)
+        self.ids, self.unit, self.gone = [self.sign], [""], [b""]
+        self.follow: dict[int, int] = {}
+        self.alike, self.first, self.count, self.long = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, bool)
         self.spans = np.zeros((3, 0), np.int32)
 
     def skipped(self, key: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -167,12 +179,19 @@ class Encoder:
             out += [symbol[a]] if symbol[a] >= 0 else p.as_bytes(unit[a])
         return out
 
-    def together(self, units: list[str], key: np.ndarray | None, met: list[np.ndarray] | None = None) -> list[bytes]:
-        """Units of one length, a merge each in every round; without keys none is skipped. To ``met`` go the
-        candidates: unit, start, middle and end."""
+    def together(self, units: list[str], key: np.ndarray | None, merges: list[np.ndarray] | None = None, skips: np.ndarray | None = None) -> list[bytes]:
+        """Units of one length, a merge each in every round. Skipped is what the keys say; without keys, what
+        ``skips`` has (sorted: unit, then span). To ``met`` go the candidates: unit, start, middle and end."""
         p, m, n = self.pieces, len(units), len(units[0])
-        dropout = self.dropout if key is not None else 0
-        key = np.zeros(m, U) if key is None else key
+        dropout = self.dropout if key is not None else skips is not None and len(skips)
+        key = np.arange(m).astype(U) if key is None else key
+
+        def skipped(own: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+            if skips is None:
+                return self.skipped(own, x, y, z)
+            code = own.astype(np.int64) << SPAN_BITS | spans_coded(x, y, z)
+            return skips[np.minimum(np.searchsorted(skips, code), len(skips) - 1)] == code
+
         code = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).reshape(m, n)
         symbol = p.char[code]
         out: list[bytes] = [b""] * m
@@ -180,11 +199,8 @@ class Encoder:
         start = np.broadcast_to(np.arange(n + 1, dtype=np.int32), (m, n + 1)).copy()
         into = p.joined(symbol[:, :-1], symbol[:, 1:])
         rank = p.rank[into]  # -1 takes the last, _NONE
-        if met is not None and n > 1:
-            r, a = np.nonzero(rank < _NONE)
-            met.append(np.stack([r, a, a + 1, a + 2]))
         if dropout and n > 1:
-            rank = np.where(self.skipped(key[:, None], start[:, :-2], start[:, 1:-1], start[:, 2:]), _NONE, rank)
+            rank = np.where(skipped(key[:, None], start[:, :-2], start[:, 1:-1], start[:, 2:]), _NONE, rank)
 
         def done(which: np.ndarray) -> None:
             left = symbol[which]
@@ -214,6 +230,8 @@ class Encoder:
             if not len(row):
                 return out
             width = symbol.shape[1]
+            if merges is not None:
+                merges.append(np.stack([row, start[lines, best], start[lines, best + 1], start[lines, best + 2]]))
             symbol[lines, best] = into[lines, best]
             cols = np.arange(width)[None, :]
             gone = best[:, None] + 1
@@ -228,11 +246,8 @@ class Encoder:
                     a = at[ok]
                     new = p.joined(symbol[ok, a], symbol[ok, a + 1])
                     r = p.rank[new]
-                    if met is not None:
-                        real = r < _NONE
-                        met.append(np.stack([row[ok], start[ok, a], start[ok, a + 1], start[ok, a + 2]])[:, real])
                     if dropout:
-                        r = np.where(self.skipped(key[ok], start[ok, a], start[ok, a + 1], start[ok, a + 2]), _NONE, r)
+                        r = np.where(skipped(key[ok], start[ok, a], start[ok, a + 1], start[ok, a + 2]), _NONE, r)
                     into[ok, a], rank[ok, a] = new, r
 
     def learn(self, units: set[str], variant: int) -> None:
@@ -249,28 +264,64 @@ class Encoder:
                 keys = np.array([self.key(variant, u) for u in part], U)
                 known.update(zip(part, self.together(part, keys), strict=True))
 
-    def study(self, units: set[str]) -> None:
-        """Segmentations without dropout, with the candidates met; long units are left to their occurrences."""
-        by_length: dict[int, list[str]] = defaultdict(list)
-        for u in units:
-            by_length[min(len(u), LONG + 1)].append(u)
-        counts, spans, longs = [self.count], [self.spans], [self.long]
+    def study(self, units: list[str], gone: list[bytes], alike: np.ndarray) -> None:
+        """Numbers new decisions. Long units are left to their occurrences."""
+        by_length: dict[int, list[int]] = defaultdict(list)
+        for k, unit in enumerate(units):
+            by_length[min(len(unit), LONG + 1)].append(k)
+        ids: list[bytes] = [b""] * len(units)
+        whose, spans = [np.zeros(0, np.int64)], [np.zeros((3, 0), np.int32)]
         for n, same in by_length.items():
-            for k in range(0, len(same), 20_000):
-                part = same[k : k + 20_000]
-                met: list[np.ndarray] = []
-                self.number.update(zip(part, range(len(self.plain), len(self.plain) + len(part)), strict=True))
-                self.plain += self.together(part, None, met) if n <= LONG else [b""] * len(part)
-                whose, *of = np.concatenate([np.zeros((4, 0), np.int64), *met], axis=1)
-                counts.append(np.bincount(whose, minlength=len(part)))
-                spans.append(np.stack(of)[:, np.argsort(whose, kind="stable")].astype(np.int32))
-                longs.append(np.full(len(part), n > LONG))
-        self.count, self.spans, self.long = np.concatenate(counts), np.concatenate(spans, axis=1), np.concatenate(longs)
-        self.first = np.cumsum(self.count) - self.count
+            for x in range(0, len(same) if n <= LONG else 0, 20_000):
+                part = same[x : x + 20_000]
+                own = [gone[k] for k in part]
+                skips = np.repeat(np.arange(len(part)) << SPAN_BITS, [len(g) // 4 for g in own]) | np.frombuffer(b"".join(own), np.int32)
+                merges: list[np.ndarray] = []
+                for k, got in zip(part, self.together([units[k] for k in part], None, merges, np.sort(skips)), strict=True):
+                    ids[k] = got
+                if merges:
+                    turn = np.repeat(np.arange(len(merges)), [m.shape[1] for m in merges])
+                    of, *span = np.concatenate(merges, axis=1)
+                    of = np.array(part)[of]
+                    new = turn >= alike[of]
+                    whose.append(of[new])
+                    spans.append(np.stack(span).astype(np.int32)[:, new])
+        of = np.concatenate(whose)
+        count = np.bincount(of, minlength=len(units))
+        self.first = np.concatenate([self.first, self.spans.shape[1] + np.cumsum(count) - count])
+        self.spans = np.concatenate([self.spans, np.concatenate(spans, axis=1)[:, np.argsort(of, kind="stable")]], axis=1)
+        self.count, self.alike = np.concatenate([self.count, count]), np.concatenate([self.alike, alike])
+        self.long = np.concatenate([self.long, np.array([len(u) > LONG for u in units], bool)])
+        self.ids += ids
+        self.unit += units
+        self.gone += gone
+
+    def decided(self, number: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The decisions that units under these keys come to; -1 for long units."""
+        out = np.where(self.long[number], -1, number)
+        live = np.flatnonzero(out >= 0)
+        while len(live):
+            of = out[live]
+            count = self.count[of]
+            whose = np.repeat(np.arange(len(of)), count)
+            turn = np.arange(len(whose)) - np.repeat(np.cumsum(count) - count, count)
+            hit = np.flatnonzero(self.skipped(key[live[whose]], *self.spans[:, np.repeat(self.first[of], count) + turn]))
+            hit = hit[np.append(True, whose[hit][1:] != whose[hit][:-1])] if len(hit) else hit
+            live = live[whose[hit]]
+            steps, back = np.unique(out[live] << 7 | turn[hit], return_inverse=True)
+            new = [x for x in steps.tolist() if x not in self.follow]
+            if new:
+                before, skip = np.array(new) >> 7, np.array(new) & 127
+                codes = spans_coded(*self.spans[:, self.first[before] + skip])
+                at, whole = len(self.ids), before.tolist()
+                self.study([self.unit[n] for n in whole], [self.gone[n] + c.tobytes() for n, c in zip(whole, codes, strict=True)], self.alike[before] + skip)
+                self.follow.update(zip(new, range(at, at + len(new)), strict=True))
+            out[live] = np.fromiter(map(self.follow.__getitem__, steps.tolist()), np.int64, len(steps))[back]
+        return out
 
     def encode_placed(self, texts: list[str | None], owners: list[int]) -> list[bytes]:
         """Ids of each text, each unit under the key of its text's owner and its place."""
-        if len(self.plain) > self.most:
+        if len(self.ids) > self.most:
             self.forget()
         units: list[str | None] = []
         ends = [0]
@@ -281,31 +332,21 @@ class Encoder:
                 units += _UNIT.findall((SPACE if k == 0 else "") + part.replace(" ", SPACE))
             ends.append(len(units))
         if new := set(units) - self.number.keys():
-            self.study(new)
+            fresh = list(new)
+            self.number.update(zip(fresh, range(len(self.ids), len(self.ids) + len(fresh)), strict=True))
+            self.study(fresh, [b""] * len(fresh), np.zeros(len(fresh), np.int64))
         sizes = np.diff(ends)
         number = np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
         place = np.arange(len(units)) - np.repeat(ends[:-1], sizes)
         key = mixed(np.repeat(np.array(owners, np.int64).view(U), sizes), place.astype(U))
-        out = list(map(self.plain.__getitem__, number.tolist()))
-        again = self.long[number]
-        for at in range(0, len(units) if self.dropout else 0, 50_000):
-            of = number[at : at + 50_000]
-            count = self.count[of]
-            whose = np.repeat(np.arange(len(of)), count)
-            span = self.spans[:, np.arange(len(whose)) + np.repeat(self.first[of] - np.cumsum(count) + count, count)]
-            again[at + whose[self.skipped(key[at + whose], *span)]] = True
-        by_length: dict[int, list[int]] = defaultdict(list)
-        for k in np.flatnonzero(again).tolist():
-            by_length[min(len(units[k]), LONG + 1)].append(k)
-        for n, same in by_length.items():
-            for k in range(0, len(same), 20_000):
-                part = same[k : k + 20_000]
-                if n > LONG:
-                    got = [np.array(self.agenda(units[j], 0, int(key[j])), "<u2").tobytes() for j in part]
-                else:
-                    got = self.together([units[j] for j in part], key[part])
-                for j, ids in zip(part, got, strict=True):
-                    out[j] = ids
+        if self.dropout:
+            step = 100_000
+            number = np.concatenate([np.zeros(0, np.int64), *(self.decided(number[k : k + step], key[k : k + step]) for k in range(0, len(units), step))])
+        else:
+            number[self.long[number]] = -1
+        out = list(map(self.ids.__getitem__, number.tolist()))
+        for k in np.flatnonzero(number < 0).tolist():
+            out[k] = np.array(self.agenda(units[k], 0, int(key[k])), "<u2").tobytes()
         return [b"".join(out[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def encode(self, texts: list[str | None], variants: list[int]) -> list[bytes]:
@@ -348,7 +389,7 @@ def variant_of(identity: Column, seed: int, variants: int | None) -> Column:
     return h if variants is None else F.pmod(h, F.lit(variants)).cast("int")
 
 
-def encode_docs(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", out: str = "__pieces", seed: int = 7, dropout: float = 0.1, variants: int | None = 4, keep_ids: bool = True) -> DataFrame:
+def encode_docs(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", out: str = "__pieces", seed: int = 7, dropout: float = 0.1, variants: int | None = None, keep_ids: bool = True) -> DataFrame:
     """Adds struct ``out``: variant, n_tokens, ids_crc32 (of the ids, 2 bytes each), lossless (the ids
     decode to the text) and, unless left out, ids."""
     fields = [("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("lossless", pa.bool_())]
@@ -380,6 +421,3 @@ def encode_docs(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     udf = F.arrow_udf(run, f"struct<{ddl}>")
     return docs.withColumn(out, udf(F.col(f"`{text_col}`"), v).withField("variant", v))
 
-
-def n_bytes(text: str | None) -> int:
-    return len(encoded(text))
