@@ -22,6 +22,14 @@ def test_imports_without_the_text_subpackage(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
 
 
+def test_imports_where_the_text_subpackage_cannot():
+    """What it needs may be missing: the indicators' queries stay, with a warning."""
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; assert len(e.queries()) == len(e.oracle_sql()) >= 62 and 'op6_suffix_dedup' not in e.queries()"
+    got = subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, capture_output=True, text=True)
+    if (ROOT / "tidemark" / "llm").exists():
+        assert "no text queries" in got.stderr
+
+
 def test_nothing_else_imports_it():
     for p in (ROOT / "tidemark").rglob("*.py"):
         if "llm" not in p.relative_to(ROOT).parts:
