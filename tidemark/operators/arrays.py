@@ -1,4 +1,5 @@
-"""Row, window and running operators over one series in order, a chunk at a time, for streams.
+"""Row, window and running operators over one series in order, a chunk at a time, for streams and for
+frames too long to be columns.
 
 A window operator keeps the bars that its next value looks back on; running ones keep their sums.
 """
@@ -231,6 +232,7 @@ class Obv(K.Kernel):
         step = np.where(d > 0, x["volume"], np.where(d < 0, -x["volume"], 0.0))
         if not self.done and len(step):
             step[0] = x["volume"][0]
+        step[np.isnan(x["close"]) | np.isnan(x["volume"])] = np.nan
         return {"obv": self.sum(step)}
 
 

@@ -2,7 +2,9 @@
 
 A window function cannot stand inside another, so an operator is written in steps: ``let`` names an
 intermediate column at a depth, and all operators' columns of one depth are added together, over one
-partitioning and order. A frame gives a value only when it is full and free of nulls.
+partitioning and order. A frame gives a value only when it is full and free of nulls. A frame is summed up
+again for every row, so those of more than LONGEST_FRAME bars go with the recursive operators instead
+(``plans/batch.py``), as do the two that need every value of their frame (wma, cci).
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from tidemark.functions import lower_shadow, real_body, upper_shadow
 from tidemark.options import BEARISH, BULLISH, NEUTRAL, PATTERN, Series
 
 Out = dict[str, Column]
+LONGEST_FRAME = 32
 
 
 class Steps:
@@ -79,6 +82,13 @@ class Bars:
         return self.steps.let(f"{how} {n} {what}", lambda: F.when(full, getattr(F, how)(x).over(w)), depth)
 
 
+    def running(self, x: Column, what: str, depth: int) -> Column:
+        """The sum from the start, null from the first null on, as a recurrence has no value after one."""
+        w = self.steps.all()
+        whole = F.count(x).over(w) == F.count(F.lit(1)).over(w)
+        return self.steps.let(f"running {what}", lambda: F.when(whole, F.sum(x).over(w)), depth)
+
+
 def _div(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0))
 
@@ -87,19 +97,6 @@ def _sma(b: Bars, period: int) -> Out:
     return {"sma": b.over("avg", b.price, b.name("price"), period, 1)}
 
 
-def _weighted(values: Column, total: float) -> Column:
-    """Sum of the values, the first times 1, the next times 2 and so on, over a total."""
-    n = F.size(values)
-    return F.aggregate(F.zip_with(values, F.sequence(F.lit(1), n), lambda v, k: v * k), F.lit(0.0), lambda a, v: a + v) / total
-
-
-def _wma(b: Bars, period: int) -> Out:
-    x, w = b.price, b.steps.frame(period)
-    values = F.collect_list(x).over(w)
-    listed = b.steps.let(f"list {period} {b.name('price')}", lambda: F.when(F.count(x).over(w) == period, values), 1)
-    return {"wma": F.when(listed.isNotNull(), _weighted(listed, period * (period + 1) / 2))}
-
-
 def _trima(b: Bars, period: int) -> Out:
     n, m = ((period + 1) // 2,) * 2 if period % 2 else (period // 2 + 1, period // 2)
     first = b.over("avg", b.price, b.name("price"), n, 1)
@@ -134,18 +131,6 @@ def _tp(b: Bars) -> tuple[Column, str]:
     return b.steps.let(what, (b.high + b.low + b.close) / 3.0, 1), what
 
 
-def _cci(b: Bars, period: int) -> Out:
-    tp, what = _tp(b)
-    mean = b.over("avg", tp, what, period, 2)
-    listed = b.steps.let(f"list {period} {what}", lambda: F.collect_list(tp).over(b.steps.frame(period)), 2)
-    dev = F.aggregate(listed, F.lit(0.0), lambda a, v: a + F.abs(v - mean)) / float(period)
-    dev = b.steps.let(f"dev {period} {what}", F.when(mean.isNotNull(), dev), 3)
-    return {
-        "cci": F.when(dev == 0, 0.0).otherwise((tp - mean) / (F.nullif(dev, F.lit(0.0)) * 0.015)),
-        "tp": F.when(mean.isNotNull(), tp), "tp_sma": mean, "mean_dev": dev,
-    }
-
-
 def _mfi(b: Bars, period: int) -> Out:
     tp, what = _tp(b)
     before = b.steps.let(f"lag {what}", lambda: F.lag(tp).over(b.steps.order()), 2)
@@ -249,21 +234,20 @@ def money_flow_volume(b: Bars) -> Column:
 
 
 def _ad(b: Bars) -> Out:
-    return {"ad": F.sum(money_flow_volume(b)).over(b.steps.all())}
+    return {"ad": b.running(money_flow_volume(b), " ".join(["ad", *map(b.name, ("high", "low", "close", "volume"))]), 1)}
 
 
 def _obv(b: Bars) -> Out:
     before, v = b.lag("close"), b.volume
     step = F.when(b.number() == 1, v).when(b.close > before, v).when(b.close < before, -v).otherwise(0.0)
-    return {"obv": F.sum(b.steps.let(f"obv {b.name('close')} {b.name('volume')}", step, 2)).over(b.steps.all())}
+    what = f"obv {b.name('close')} {b.name('volume')}"
+    step = b.steps.let(what, F.when(b.close.isNotNull() & v.isNotNull(), step), 2)
+    return {"obv": b.running(step, what, 3)}
 
 
 def _vwap(b: Bars) -> Out:
     tp, what = _tp(b)
-    pv = F.sum(tp * b.volume).over(b.steps.all())
-    volume = F.sum(b.volume).over(b.steps.all())
-    key = f"{what} {b.name('volume')}"
-    pv, volume = b.steps.let(f"pv {key}", pv, 2), b.steps.let(f"volume {key}", volume, 2)
+    pv, volume = b.running(tp * b.volume, f"pv {what} {b.name('volume')}", 2), b.running(b.volume, f"volume {b.name('volume')}", 2)
     return {"vwap": F.when(volume == 0, 0.0).otherwise(_div(pv, volume)), "cum_pv": pv, "cum_vol": volume}
 
 
@@ -362,8 +346,8 @@ def _correl(b: Bars, period: int) -> Out:
 
 
 BUILDERS: dict[str, Callable[..., Out]] = {
-    "sma": _sma, "wma": _wma, "trima": _trima, "mom": _mom, "roc": _roc, "rocp": _rocp, "rocr": _rocr, "rocr100": _rocr100,
-    "cci": _cci, "mfi": _mfi, "stoch": _stoch, "willr": _willr, "bop": _bop, "aroon": _aroon, "aroonosc": _aroonosc,
+    "sma": _sma, "trima": _trima, "mom": _mom, "roc": _roc, "rocp": _rocp, "rocr": _rocr, "rocr100": _rocr100,
+    "mfi": _mfi, "stoch": _stoch, "willr": _willr, "bop": _bop, "aroon": _aroon, "aroonosc": _aroonosc,
     "trange": _trange, "bbands": _bbands, "adr": _adr, "ad": _ad, "obv": _obv, "vwap": _vwap, "medprice": _medprice,
     "typprice": _typprice, "wclprice": _wclprice, "midpoint": _midpoint, "midprice": _midprice, "ecl": _ecl,
     "cdl_doji": _doji, "cdl_dragonfly_doji": _dragonfly, "cdl_gravestone_doji": _gravestone,

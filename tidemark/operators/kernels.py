@@ -3,11 +3,14 @@
 A kernel holds what its next value needs and no more, so a series of any length passes through in
 chunks, and the same kernel serves batches and streams. Linear recurrences y = a*y + b*x run in compiled
 code (an exponentially weighted mean is that recurrence); only the two state machines loop.
-NaN stands for "no value"; an input without a value makes all later values of a recurrence NaN.
+NaN stands for "no value"; an input without a value makes all later values of a recurrence NaN, those of the
+two state machines and of sums from the start too. (Chunks of fewer than 16 bars are stepped one by one, longer
+ones in compiled code; the two differ by rounding.)
 """
 
 from __future__ import annotations
 
+import math
 from typing import Any
 
 import numpy as np
@@ -303,12 +306,18 @@ class Sar(Kernel):
         self.highs: list[float] = []  # of the last two bars
         self.lows: list[float] = []
         self.long, self.sar, self.af, self.ep, self.since = True, np.nan, 0.0, np.nan, 1
+        self.lost = False
 
     def run(self, x: Arrays) -> Arrays:
         highs, lows = x["high"].tolist(), x["low"].tolist()
         sar, long, af, ep = [], [], [], []
         for k, (high, low) in enumerate(zip(highs, lows, strict=True)):
             i = self.done + k
+            self.lost |= math.isnan(high) or math.isnan(low)
+            if self.lost:
+                for out, nothing in ((sar, np.nan), (long, None), (af, np.nan), (ep, np.nan)):
+                    out.append(nothing)
+                continue
             if i == 1:
                 self.long = high - self.highs[-1] >= self.lows[-1] - low
                 self.sar = self.lows[-1] if self.long else self.highs[-1]
@@ -348,6 +357,7 @@ class Supertrend(Kernel):
         super().__init__()
         self.atr, self.by, self.period = Atr(period), multiplier, period
         self.last: tuple[int, float, float, float] | None = None  # trend, upper, lower, close
+        self.lost = False
 
     def run(self, x: Arrays) -> Arrays:
         atr = self.atr(x)["atr"]
@@ -356,8 +366,9 @@ class Supertrend(Kernel):
         n = len(atr)
         trend, stop, up, low = np.zeros(n, np.int64), np.full(n, np.nan), np.full(n, np.nan), np.full(n, np.nan)
         last = self.last
+        gone = np.logical_or.accumulate(np.append(self.lost, np.isnan(x["high"]) | np.isnan(x["low"]) | np.isnan(x["close"])))[1:]
         for k, c in enumerate(x["close"].tolist()):
-            if self.done + k < self.period:
+            if gone[k] or self.done + k < self.period:
                 continue
             u, d = uppers[k], lowers[k]
             if last is None:
@@ -374,7 +385,8 @@ class Supertrend(Kernel):
                     t = BULLISH if c > u else BEARISH
             last = (t, u, d, c)
             trend[k], stop[k], up[k], low[k] = t, d if t == BULLISH else u, u, d
-        self.last = last
+        self.last, self.lost = last, bool(gone[-1]) if n else self.lost
+        atr = np.where(gone, np.nan, atr)
         return {"supertrend": stop, "trend": trend, "atr": atr, "upper": up, "lower": low}
 
 

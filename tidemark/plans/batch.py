@@ -1,5 +1,5 @@
 """Many indicators in one pass: one shuffle and sort by series, one window column set for each depth,
-and at most one Arrow hop for all recursive operators together."""
+and at most one Arrow hop for all recursive operators and long frames together."""
 
 from __future__ import annotations
 
@@ -10,13 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import expressions, kernels
+from tidemark.operators import arrays, expressions, kernels
 from tidemark.operators.catalog import Indicator
 from tidemark.options import Options, Series
 
 _ARROW = {"double": pa.float64(), "bigint": pa.int64(), "boolean": pa.bool_()}
 
 
+def in_columns(i: Indicator) -> bool:
+    """Whether the indicator is made of columns alone, without the Arrow hop."""
+    longest = i.operator.lookback(**i.params) if i.operator.kind == "window" and "period" in i.params else 0
+    return i.operator.name in expressions.BUILDERS and longest <= expressions.LONGEST_FRAME
+
+
 def with_indicators(df: DataFrame, indicators: Iterable[Indicator], series: Series | None = None, options: Options | None = None) -> DataFrame:
     """The rows with the indicators' columns, named prefix_output."""
     series, options = series or Series(), options or Options()
@@ -30,10 +36,10 @@ def with_indicators(df: DataFrame, indicators: Iterable[Indicator], series: Seri
     steps = expressions.Steps(series)
     outputs = {}
     for i in indicators:
-        if i.operator.name in expressions.BUILDERS:
+        if in_columns(i):
             built = expressions.build(steps, i.operator.name, inputs[i.prefix], i.params)
             outputs |= {f"{i.prefix}_{n}": built[n].cast(t) for n, t in i.operator.outputs}
-    recursive = [i for i in indicators if i.operator.name in kernels.MAKERS]
+    recursive = [i for i in indicators if not in_columns(i)]
     if recursive:
         steps.columns["__number"] = (0, F.row_number().over(steps.order()))
         if any(i.operator.name in kernels.NEED_LENGTH for i in recursive):
@@ -100,7 +106,7 @@ def _recursive(df: DataFrame, indicators: list[Indicator], inputs: dict[str, dic
             first = set(starts)
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if lo in first:
-                    states = [kernels.kernel(name, params) for name, params, _, _, _ in plan]
+                    states = [arrays.stepper(name, params) for name, params, _, _, _ in plan]
                 at = 0
                 for state, (name, _, cols, outs, lookback) in zip(states, plan, strict=True):
                     got = state({r: floats[c][lo:hi] for r, c in cols.items()})
@@ -108,8 +114,8 @@ def _recursive(df: DataFrame, indicators: list[Indicator], inputs: dict[str, dic
                     for n, _ in outs:
                         parts[at].append(np.full(hi - lo, np.nan) if short else got[n])
                         at += 1
-            arrays = [as_arrow(np.concatenate(p) if p else np.zeros(0), t) for p, (_, t) in zip(parts, named, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *arrays], [*b.schema.names, *[n for n, _ in named]])
+            columns = [as_arrow(np.concatenate(p) if p else np.zeros(0), t) for p, (_, t) in zip(parts, named, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, *[n for n, _ in named]])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{n}` {t}" for n, t in named)])
     return df.mapInArrow(run, schema)
