@@ -48,8 +48,30 @@ def test_matches_brute_force(spark):
     check(spark)
 
 
-def test_shards_lose_nothing(spark):
-    check(spark, shard_words=100)
+def test_other_widths(spark):
+    xs = [x for x in texts() if x]
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = {r.doc_id: r for r in D.hits(docs(spark, xs), items, "text", "h", width=3).select("doc_id", "h.*", D.n_hit("h.spans").alias("hit")).collect()}
+    for k, x in enumerate(xs):
+        assert (got[k].n_words, got[k].hit, got[k]["items"]) == brute(x, ITEMS, 3), k
+
+
+def test_null_item_ids_hit_words_and_count_as_one(spark):
+    items = spark.createDataFrame([(None, "one two three"), (None, "four five"), (7, "one two three")], "item_id long, text string")
+    rows = [("null", "zero one two three"), (1, "four five one two three"), (2, "four six"), (3, None)]
+    got = {r.doc_id: (r.hit, r["items"]) for r in D.hits(docs(spark, rows), items, "text", "h").select("doc_id", "h.*", D.n_hit("h.spans").alias("hit")).collect()}
+    assert got == {None: (3, ["7", None]), 1: (5, ["7", None]), 2: (0, []), 3: (0, [])}
+
+
+def test_the_index_is_joined_and_what_is_broadcast_has_one_size(spark):
+    items = spark.createDataFrame([(k, " ".join(words(40, k, 10**6))) for k in range(300)], "item_id long, text string")
+    w = D._windows(items, "item_id", "text", 8)
+    assert w.count() == 300 * 33
+    assert len(D._bitmap(w.select(F.explode(F.split("w", " ")).alias("w")))) == D.BITS // 8
+    m = D.Marked(D._bitmap(spark.createDataFrame([("straße",), ("a",)], "w string")))
+    assert m(["straße".encode(), b"a", b"b", b"c"]) == [True, True, False, False]
+    plan = D.hits(docs(spark, texts()), items, "text", "h")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
 
 
 def test_clean_and_empty(spark):
