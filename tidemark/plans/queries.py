@@ -4,19 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark import functions as helpers
 from tidemark import sources
 from tidemark.operators.catalog import CATALOG, indicator
+from tidemark.options import Series
 from tidemark.plans.batch import with_indicators
+from tidemark.plans.sql import register
+from tidemark.streaming.incremental import Incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Decimals that results are rounded to: sums and squares are large, and engines add in different orders.
 DECIMALS = {"smoothed_plus_dm": 1, "smoothed_minus_dm": 1, "smoothed_tr": 1, "var": -2, "sum_sq": -3, "sum_0_sq": -3, "sum_1_sq": -1, "sum_01": -1, "cum_pv": -3, "pos_flow": 1, "neg_flow": 1, "money_flow": 1, "channel_upper": 2, "channel_lower": 2, "boundary_upper": 2, "boundary_lower": 2, "plus_dm": 1, "minus_dm": 1}
 #: Decimals of the inputs show through here, so that a coarser rounding would meet exact halves.
-DECIMALS |= dict.fromkeys(("medprice", "typprice", "wclprice", *(f"{s}{k}" for s in "hl" for k in range(1, 6))), 6)
+DECIMALS |= dict.fromkeys(("trima", "sma1", "medprice", "typprice", "wclprice", *(f"{s}{k}" for s in "hl" for k in range(1, 6))), 6)
+
+
+#: And here, as means of inputs with two decimals meet them too.
+DECIMALS |= dict.fromkeys(("upper", "middle", "lower", "ha_open", "ha_high", "ha_low", "ha_close", "pos_flow", "neg_flow", "money_flow"), 5)
 
 
 def decimals(output: str) -> int:
@@ -28,12 +37,8 @@ def _plain(column: str, kind: str) -> Column:
 
 
 def operator_query(name: str) -> Query:
-    op = CATALOG[name]
-
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = with_indicators(sources.daily(spark, sf_dir), [indicator(name)])
-        # adding zero makes -0 a 0
-        return out.select("symbol", "ts", *[(F.round(f"{name}_{o}", decimals(o)) + F.lit(0.0)).alias(f"{name}_{o}") if t == "double" else _plain(f"{name}_{o}", t) for o, t in op.outputs])
+        return _rounded(with_indicators(sources.daily(spark, sf_dir), [indicator(name)]), name)
 
     return run
 
@@ -274,9 +279,95 @@ def _recursive_sql() -> dict[str, str]:
     }
 
 
+def _rounded(out: DataFrame, name: str) -> DataFrame:
+    op = CATALOG[name]
+    # adding zero makes -0 a 0
+    return out.select("symbol", "ts", *[(F.round(f"{name}_{o}", decimals(o)) + F.lit(0.0)).alias(f"{name}_{o}") if t == "double" else _plain(f"{name}_{o}", t) for o, t in op.outputs])
+
+
+def stepped_query(name: str) -> Query:
+    """The operator bar by bar: what a stream does with each bar, replayed over every series of daily bars."""
+    op = CATALOG[name]
+    i = indicator(name)
+
+    def replay(rows: pd.DataFrame) -> pd.DataFrame:
+        step = Incremental(name)
+        rows = rows.sort_values("ts")
+        bars = rows[list(i.inputs.values())].to_numpy(float)
+        got = [step.step(**dict(zip(i.inputs, map(float, bar), strict=True))) for bar in bars]
+        return rows[["symbol", "ts"]].assign(**{f"{name}_{o}": pd.Series([g[o] for g in got], index=rows.index, dtype=object) for o, _ in op.outputs})
+
+    schema = "symbol string, ts string, " + ", ".join(f"{name}_{o} {t}" for o, t in op.outputs)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _rounded(sources.daily(spark, sf_dir).groupBy("symbol").applyInPandas(replay, schema), name)
+
+    return run
+
+
+def candle_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The helpers over hourly bars of events."""
+    series = Series()
+    order = Window.partitionBy("symbol").orderBy("ts")
+    b = sources.hourly_events(spark, sf_dir).withColumns({"rn": F.row_number().over(order), "po": F.lag("open").over(order), "pc": F.lag("close").over(order)})
+    o, h, low, c, po, pc = (F.col(x) for x in ("open", "high", "low", "close", "po", "pc"))
+    parts = {"body": helpers.real_body(o, c), "upper": helpers.upper_shadow(h, o, c), "lower": helpers.lower_shadow(low, o, c)}
+    ages = {"since_high": helpers.highest_bars(h, F.col("rn"), series, 14), "since_low": helpers.lowest_bars(low, F.col("rn"), series, 14)}
+    return b.select(
+        "symbol", "ts", "volume", *[(F.round(x, 6) + F.lit(0.0)).alias(n) for n, x in parts.items()],
+        *[F.coalesce(x, F.lit(False)).alias(n) for n, x in (("up", helpers.gap_up(o, c, po, pc)), ("down", helpers.gap_down(o, c, po, pc)))],
+        *[x.cast("bigint").alias(n) for n, x in ages.items()], F.round(F.lit(helpers.period_to_k(14)), 6).alias("k"),
+    )
+
+
+CANDLE_PARTS = """
+WITH b AS (
+  SELECT event_type AS symbol, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS ts, arg_min(value, (ts, event_id)) AS open, max(value) AS high,
+    min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*)::DOUBLE AS volume
+  FROM events WHERE value IS NOT NULL AND ts IS NOT NULL GROUP BY ALL
+), s AS (
+  SELECT *, row_number() OVER w AS rn, lag(open) OVER w AS po, lag(close) OVER w AS pc FROM b WINDOW w AS (PARTITION BY symbol ORDER BY ts)
+)
+SELECT symbol, ts, volume, round(abs(close - open), 6) + 0.0::DOUBLE AS body, round(high - greatest(open, close), 6) + 0.0::DOUBLE AS upper,
+  round(least(open, close) - low, 6) + 0.0::DOUBLE AS lower, coalesce(least(open, close) > CASE WHEN po IS NOT NULL THEN greatest(po, pc) END, false) AS up,
+  coalesce(greatest(open, close) < CASE WHEN po IS NOT NULL THEN least(po, pc) END, false) AS down,
+  (rn - arg_max(rn, (high, rn)) OVER f)::BIGINT AS since_high, (rn - arg_min(rn, (low, -rn)) OVER f)::BIGINT AS since_low, round(2.0::DOUBLE / 15, 6) AS k
+FROM s WINDOW f AS (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)
+"""
+
+
+def supplier_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.by_supplier(spark, sf_dir).withColumn("volume", F.round("volume", 6))
+
+
+SUPPLIER_BARS = """
+SELECT l_suppkey::VARCHAR AS symbol, strftime(l_shipdate, '%Y-%m-%d') AS ts,
+  arg_min(l_extendedprice, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag, l_linestatus, l_quantity))::DOUBLE AS open,
+  max(l_extendedprice)::DOUBLE AS high, min(l_extendedprice)::DOUBLE AS low,
+  arg_max(l_extendedprice, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag, l_linestatus, l_quantity))::DOUBLE AS close,
+  round(sum(l_quantity)::DOUBLE, 6) AS volume
+FROM lineitem GROUP BY ALL
+"""
+
+
+def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL surface: the table function ``ta`` over daily bars."""
+    register(spark)
+    sources.daily(spark, sf_dir).createOrReplaceTempView("tidemark_daily")
+    out = spark.sql("SELECT * FROM ta(TABLE(SELECT * FROM tidemark_daily) PARTITION BY (symbol) ORDER BY (ts), 'rsi', 'period=14')")
+    return _rounded(out.withColumnsRenamed({o: f"rsi_{o}" for o, _ in CATALOG["rsi"].outputs}), "rsi")
+
+
+#: In streams these have values before a series is long enough for its batch to have any.
+EARLY = ("vegas", "ecl")
+
+
 def queries() -> dict[str, Query]:
-    return {name: operator_query(name) for name in CATALOG}
+    stepped = {f"{name}_inc": stepped_query(name) for name in CATALOG}
+    return {name: operator_query(name) for name in CATALOG} | stepped | {"candle_parts": candle_parts, "supplier_bars": supplier_bars, "table_function": table_function}
 
 
 def oracle_sql() -> dict[str, str]:
-    return _simple_sql() | _recursive_sql()
+    out = _simple_sql() | _recursive_sql()
+    stepped = {f"{name}_inc": sql for name, sql in out.items() if name not in EARLY}
+    return out | stepped | {"candle_parts": CANDLE_PARTS, "supplier_bars": SUPPLIER_BARS, "table_function": out["rsi"]}
