@@ -26,7 +26,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     q = "__quality"
     return quality_rules.quality_rules(docs, columns=["doc_id"]).select(
-        "doc_id", *[f"{q}.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")]
+        "doc_id", *[f"{q}.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")], F.round(f"{q}.posterior", 6).alias("posterior")
     )
 
 
