@@ -70,6 +70,58 @@ def test_golden_values(spark, name, output, first, want, tolerance):
     close_to(got[first:], want, tolerance)
 
 
+#: Operator, output, index of the first value, and the values there, at default parameters.
+MORE_GOLDEN = [
+    ("wma", "wma", 29, [35086.70666666667]),
+    ("dema", "dema", 8, [35218.82903703704, 35200.55518792867, 35185.33845633287, 35207.88230269776, 35210.681534115734]),
+    ("tema", "tema", 6, [35209.88333333334, 35245.56666666668, 35206.03020833333, 35184.88072916666, 35173.01927083332]),
+    ("t3", "t3", 24, [34990.33089268528, 35014.01040657281, 35039.64008514726, 35061.489687430236, 35075.56340616185]),
+    ("trima", "trima", 29, [35106.67916666667]),
+    ("mom", "mom", 14, [-125.8, -180.2, -191.4, -156.6, -112.5]),
+    ("roc", "roc", 14, [-0.3572229747189404, -0.5116207760055058, -0.5438936991875476, -0.4452658515780472, -0.31977033384023024]),
+    ("rocp", "rocp", 10, [-0.0011642402196722522, 0.00024133055471957387, 0.0006194818517393206, -0.0002644299118567788, -0.00259227150633137]),
+    ("rocr", "rocr", 10, [0.9988357597803278, 1.0002413305547195, 1.0006194818517393, 0.9997355700881432, 0.9974077284936687]),
+    ("rocr100", "rocr100", 10, [99.88357597803278, 100.02413305547195, 100.06194818517393, 99.97355700881431, 99.74077284936686]),
+    ("trix", "trix", 7, [0.02360056575074765, 0.007581993206917659, -0.008943588952370352, -0.019561690627645234, -0.0022332060023777522]),
+    ("cci", "cci", 13, [-94.08289072334637, -180.80279232111462, -244.06355715019887, -243.8483838237473, -166.79021576587272]),
+    ("mfi", "mfi", 14, [30.01466135506106, 23.918092608653822, 19.69886843882211, 28.25691647089976, 33.13531787852985]),
+    ("stoch", "k", 17, [13.888595327554674, 23.274994970831596, 25.819754576544284, 20.205422372883813, 12.265381731365673]),
+    ("stoch", "d", 17, [11.330297439346538, 15.45781338781021, 20.99444829164352, 23.100057306753232, 19.43018622693126]),
+    ("willr", "willr", 13, [-80.10610079575635, -94.93545183713789, -92.281105990784, -85.15389257694503, -80.89921544960693]),
+    ("bop", "bop", 0, [-0.7414829659318422, 0.1268292682927894, -0.5511669658887965, -0.3444259567386869, 0.40845070422527996]),
+    ("plus_dm", "plus_dm", 13, [155.09999999999854, 144.0214285714272, 133.73418367346812, 124.18174198250611, 115.31161755518424]),
+    ("minus_dm", "minus_dm", 13, [165.0, 217.01428571428863, 260.51326530612516, 312.90517492711626, 290.5548052894651]),
+    ("dx", "dx", 14, [20.21762785636671, 32.15723575657665, 43.17755248291567, 43.17755248291565, 23.711947860846085]),
+    ("aroon", "aroon_up", 14, [50.0, 42.85714285714286, 35.714285714285715, 28.571428571428573, 21.42857142857143]),
+    ("aroon", "aroon_down", 14, [100.0, 100.0, 100.0, 92.85714285714286, 85.71428571428572]),
+    ("aroonosc", "aroonosc", 14, [-50.0, -57.142857142857146, -64.28571428571429, -64.28571428571429, -64.28571428571429]),
+    ("bbands", "upper", 19, [35315.49215816903, 35324.02352034893, 35323.82218647993, 35319.44964708179, 35314.110592229015]),
+    ("bbands", "middle", 19, [35154.365000000005, 35140.535, 35127.095, 35117.560000000005, 35111.15000000001]),
+    ("bbands", "lower", 19, [34993.23784183098, 34957.04647965108, 34930.367813520075, 34915.67035291822, 34908.189407771]),
+    ("adr", "adr", 2, [48.866666666666184, 52.26666666666764, 48.06666666666812, 57.26666666667006, 57.33333333333576]),
+    ("ad", "ad", 0, [-1055.365, -1262.0153804877511, -1682.083847274164, -1313.3930070079768, -902.4219506699479]),
+    ("obv", "obv", 0, [1055.365, 1811.853, 1129.701, -68.046, 357.924]),
+    ("medprice", "medprice", 0, [35241.05, 35227.0, 35207.85, 35160.75, 35167.8]),
+    ("wclprice", "wclprice", 0, [35228.575, 35224.2, 35199.275, 35165.375, 35174.65]),
+    ("midpoint", "midpoint", 13, [35207.65, 35172.45, 35147.9, 35126.95, 35126.95]),
+    ("midprice", "midprice", 13, [35206.1, 35180.8, 35151.3, 35115.8, 35115.8]),
+    ("max", "max", 13, [35254.6, 35254.6, 35254.6, 35254.6, 35254.6]),
+    ("min", "min", 13, [35160.7, 35090.3, 35041.2, 34999.3, 34999.3]),
+    ("sum", "sum", 13, [492849.50000000006, 492723.70000000007, 492543.50000000006, 492352.10000000003, 492195.50000000006]),
+    ("var", "var", 13, [786.2937245368958, 1610.1553571224213, 3072.7173981666565, 5255.849234580994, 6837.828826189041]),
+    ("stddev", "stddev", 13, [28.040929452086566, 40.126741172470275, 55.43209718355112, 72.49723604787285, 82.69116534545296]),
+]
+
+
+def test_more_golden_values(spark):
+    names = sorted({name for name, *_ in MORE_GOLDEN})
+    rows = with_indicators(frame(spark, {"a": sample()}), [indicator(n) for n in names]).orderBy("ts").collect()
+    for name, output, first, want in MORE_GOLDEN:
+        got = [r[f"{name}_{output}"] for r in rows]
+        assert all(v is None for v in got[:first]), name
+        close_to(got[first:], want, 1e-4)
+
+
 def test_every_operator_agrees_with_its_kernel_in_any_chunks(spark):
     """Columns of a batch against kernels fed bar by bar and in pieces; several series at once."""
     series = {"a": walk(900, 1), "b": walk(700, 2, 0.4), "c": walk(20, 3), "d": walk(1, 4)}
