@@ -10,7 +10,8 @@ all occurrences of a word are cut independently, and their number of segmentatio
 remembers decisions, not occurrences: for a unit and a set of skipped candidates, the merges that follow, in
 order, and the segmentation they lead to. An occurrence starts with nothing skipped; the first of the merges
 that its key skips leads to the next decision, and where it skips none it is done. What a key decides is
-the same as if the occurrence were merged on its own; only decisions seen for the first time are merged.
+the same as if the occurrence were merged on its own, and that is what is done where a unit, or a decision, is
+met once only in the texts at hand: what is remembered is what comes again.
 
 With a number of ``variants`` instead, a document's variant is a keyed hash of its id, dealt into as many
 classes, and a word is cut alike in all documents of a class.
@@ -31,10 +32,12 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +47,8 @@ from tidemark.llm.common import structs
 SPACE = "▁"
 _UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 _NONE = np.int32(1 << 30)
+SLICE_BYTES = 8_000_000
+TABLE = 1 << 20
 #: Longer units go by the agenda; places within others fit 7 bits.
 LONG = 64
 SPAN_BITS = 21
@@ -101,14 +106,41 @@ class Pieces:
                 if a is not None and b is not None:
                     pairs[a << 17 | b] = i
         self.pairs = pairs
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.into = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
+        # a hash table for whole arrays of pairs: what collides moves on by a slot
+        self.keys, self.into = np.full(TABLE + 64, -1, np.int64), np.full(TABLE + 64, -1, np.int32)
+        self.moves = 0
+        key, into = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int32)
+        slot = self._slots(key)
+        while len(key):
+            at, first = np.unique(slot, return_index=True)
+            free = first[self.keys[at] < 0]
+            self.keys[slot[free]], self.into[slot[free]] = key[free], into[free]
+            left = np.ones(len(key), bool)
+            left[free] = False
+            key, into, slot = key[left], into[left], slot[left] + 1
+            self.moves += 1
+
+    @staticmethod
+    def _slots(key: np.ndarray) -> np.ndarray:
+        return (key.astype(U) * U(0x9E3779B97F4A7C15) >> U(64 - TABLE.bit_length() + 1)).astype(np.int64)
 
     def joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that two symbols make, or -1."""
         key = a.astype(np.int64) << 17 | b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.into[at], np.int32(-1))
+        key[(a < 0) | (b < 0)] = -2
+        flat = key.ravel()
+        at = self._slots(flat)
+        out = np.where(self.keys[at] == flat, self.into[at], np.int32(-1))
+        open_ = np.flatnonzero((self.keys[at] != flat) & (self.keys[at] >= 0))
+        for _ in range(1, self.moves):
+            if not len(open_):
+                break
+            at[open_] += 1
+            met = self.keys[at[open_]]
+            hit = met == flat[open_]
+            out[open_[hit]] = self.into[at[open_[hit]]]
+            open_ = open_[~hit & (met >= 0)]
+        return out.reshape(key.shape)
 
     def as_bytes(self, chars: str) -> list[int]:
         return [self.byte_ids[b] for b in chars.encode()]
@@ -297,8 +329,8 @@ class Encoder:
         self.gone += gone
 
     def decided(self, number: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """The decisions that units under these keys come to; -1 for long units."""
-        out = np.where(self.long[number], -1, number)
+        """The decisions that units under these keys come to; -1 for units to be merged alone."""
+        out = np.where(self.long[number] & (number >= 0), -1, number)
         live = np.flatnonzero(out >= 0)
         while len(live):
             of = out[live]
@@ -309,14 +341,34 @@ class Encoder:
             hit = hit[np.append(True, whose[hit][1:] != whose[hit][:-1])] if len(hit) else hit
             live = live[whose[hit]]
             steps, back = np.unique(out[live] << 7 | turn[hit], return_inverse=True)
-            new = [x for x in steps.tolist() if x not in self.follow]
+            times = np.bincount(back)
+            new = [x for x, n in zip(steps.tolist(), times.tolist(), strict=True) if n > 1 and x not in self.follow]
             if new:
                 before, skip = np.array(new) >> 7, np.array(new) & 127
                 codes = spans_coded(*self.spans[:, self.first[before] + skip])
                 at, whole = len(self.ids), before.tolist()
                 self.study([self.unit[n] for n in whole], [self.gone[n] + c.tobytes() for n, c in zip(whole, codes, strict=True)], self.alike[before] + skip)
                 self.follow.update(zip(new, range(at, at + len(new)), strict=True))
-            out[live] = np.fromiter(map(self.follow.__getitem__, steps.tolist()), np.int64, len(steps))[back]
+            to = np.fromiter(map(self.follow.get, steps.tolist(), repeat(-1)), np.int64, len(steps))[back]
+            out[live] = to
+            live = live[to >= 0]
+        return out
+
+    def alone(self, units: list[str], key: np.ndarray) -> list[bytes]:
+        """Each unit merged under its own key."""
+        out = [b""] * len(units)
+        by_length: dict[int, list[int]] = defaultdict(list)
+        for k, u in enumerate(units):
+            by_length[min(len(u), LONG + 1)].append(k)
+        for n, same in by_length.items():
+            for x in range(0, len(same), 20_000):
+                part = same[x : x + 20_000]
+                if n > LONG:
+                    got = [np.array(self.agenda(units[k], 0, int(key[k])), "<u2").tobytes() for k in part]
+                else:
+                    got = self.together([units[k] for k in part], key[part])
+                for k, ids in zip(part, got, strict=True):
+                    out[k] = ids
         return out
 
     def encode_placed(self, texts: list[str | None], owners: list[int]) -> list[bytes]:
@@ -331,22 +383,27 @@ class Encoder:
                     units.append(None)
                 units += _UNIT.findall((SPACE if k == 0 else "") + part.replace(" ", SPACE))
             ends.append(len(units))
-        if new := set(units) - self.number.keys():
-            fresh = list(new)
+        get = self.number.get
+        number = np.fromiter(map(get, units, repeat(-1)), np.int64, len(units))
+        unknown = np.flatnonzero(number < 0).tolist()
+        times = Counter(map(units.__getitem__, unknown))
+        fresh = [u for u, n in times.items() if n > 1]
+        if fresh:
             self.number.update(zip(fresh, range(len(self.ids), len(self.ids) + len(fresh)), strict=True))
             self.study(fresh, [b""] * len(fresh), np.zeros(len(fresh), np.int64))
+            number[unknown] = np.fromiter(map(get, map(units.__getitem__, unknown), repeat(-1)), np.int64, len(unknown))
         sizes = np.diff(ends)
-        number = np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
         place = np.arange(len(units)) - np.repeat(ends[:-1], sizes)
         key = mixed(np.repeat(np.array(owners, np.int64).view(U), sizes), place.astype(U))
         if self.dropout:
-            step = 100_000
+            step = 300_000
             number = np.concatenate([np.zeros(0, np.int64), *(self.decided(number[k : k + step], key[k : k + step]) for k in range(0, len(units), step))])
         else:
             number[self.long[number]] = -1
         out = list(map(self.ids.__getitem__, number.tolist()))
-        for k in np.flatnonzero(number < 0).tolist():
-            out[k] = np.array(self.agenda(units[k], 0, int(key[k])), "<u2").tobytes()
+        rest = np.flatnonzero(number < 0)
+        for k, ids in zip(rest.tolist(), self.alone([units[k] for k in rest.tolist()], key[rest]), strict=True):
+            out[k] = ids
         return [b"".join(out[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     def encode(self, texts: list[str | None], variants: list[int]) -> list[bytes]:
@@ -402,9 +459,13 @@ def encode_docs(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         enc = encoder(path, seed, dropout)
         encode = enc.encode_placed if variants is None else enc.encode
         columns: list[list] = [[] for _ in fields]
-        for at in range(0, len(text), 500):
-            texts = text.slice(at, 500).to_pylist()
-            for x, ids in zip(texts, encode(texts, variant.slice(at, 500).to_pylist()), strict=True):
+        at, sizes = 0, pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
+        while at < len(text):  # some megabytes at a time
+            n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), SLICE_BYTES, side="right")))
+            texts = text.slice(at, n).to_pylist()
+            owners = variant.slice(at, n).to_pylist()
+            at += n
+            for x, ids in zip(texts, encode(texts, owners), strict=True):
                 columns[0].append(len(ids) // 2)
                 columns[1].append(zlib.crc32(ids))
                 columns[2].append(decode(enc.pieces, ids) == (x or ""))
