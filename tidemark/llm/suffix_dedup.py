@@ -15,14 +15,16 @@ Suffix arrays of all text would have to meet pairwise; so the corpus is first th
     equal windows. Within a shard later documents lose theirs; the first keeps one copy, which is exported.
 4.  Cross-shard merging. Exported windows meet by anchor key; their 64-bit hashes are sorted once and each
     window finds its equals by binary search, bytes are then compared, and the smallest id is the keeper.
-5.  Windows to remove return to their documents, in one join by document key.
+5.  Windows to remove return to their documents, in one join by id and a hash of id and text.
 
-Every group is packed arrays in one task of bounded size: a shard's share of keys grows only with the
-number of batches over shards. Nothing but counts goes to the driver.
+Every group is packed arrays in one task: a shard's share of keys grows with the number of batches over shards,
+and an anchor that all sorting shards have brings one run of windows from each. Nothing but counts goes to
+the driver.
 
 Defined cases: a null text is empty; a null id is smaller than all others; rows with equal id do not
 remove from each other; texts shorter than a window are kept whole; very long texts are read in
-overlapping pieces. Empty tables give empty results; other columns pass through.
+overlapping pieces. Empty tables give empty results. The result has its own columns only, whatever those of the
+input are called.
 """
 
 from __future__ import annotations
@@ -358,20 +360,20 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(rk[[a for a, _ in part]], pa.int64()), pa.array([key[a:b].tobytes() for a, b in part], pa.binary())], ["rk", "keys"])
 
 
-FOUND_DDL = "kind int, shard bigint, rk bigint, data binary"
+FOUND_DDL = "kind int, shard bigint, id bigint, rk bigint, data binary"
 
 
 class _Found:
     """Rows for the next step: kind 0, windows of a document to remove; kind 1, windows to compare by key."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple[int, int, int | None, bytes]] = []
+        self.rows: list[tuple[int, int, int | None, int | None, bytes]] = []
 
     def batch(self) -> pa.RecordBatch:
-        cols = list(zip(*self.rows, strict=True)) if self.rows else [[]] * 4
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        cols = list(zip(*self.rows, strict=True)) if self.rows else [[]] * 5
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         self.rows = []
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["kind", "shard", "rk", "data"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["kind", "shard", "id", "rk", "data"])
 
 
 def exported(ids: np.ndarray, rk: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray, texts: list[bytes]) -> bytes:
@@ -447,7 +449,7 @@ def _one_shard(texts: list[bytes], ids: np.ndarray, rk: np.ndarray, row: np.ndar
     gone = ids[row[run]] > least[label]
     out = _Found()
     for r, packed in _by_row(*ranges(row[run[gone]], place[gone])):
-        out.rows.append((0, abs(int(rk[r])) % shards, int(rk[r]), packed))
+        out.rows.append((0, abs(int(rk[r])) % shards, int(ids[r]), int(rk[r]), packed))
     lead = ~gone  # a document's own repeats of a window go together, if another shard has it earlier
     x_run, x_first, x_last = ranges(run[lead], place[lead])
     x_row, x_key = row[x_run], key[x_run]
@@ -456,17 +458,17 @@ def _one_shard(texts: list[bytes], ids: np.ndarray, rk: np.ndarray, row: np.ndar
     cuts = [0, *(np.flatnonzero(shard[order][1:] != shard[order][:-1]) + 1).tolist(), len(order)] if len(order) else [0]
     for a, z in zip(cuts[:-1], cuts[1:], strict=True):
         o = order[a:z]
-        out.rows.append((1, int(shard[o[0]]), None, exported(ids, rk, x_row[o], x_first[o], x_last[o], texts)))
+        out.rows.append((1, int(shard[o[0]]), None, None, exported(ids, rk, x_row[o], x_first[o], x_last[o], texts)))
     return out.batch()
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rk, data: windows of a document to remove, found within a shard (passed on) or by comparing the
+    """id, rk, data: windows of a document to remove, found within a shard (passed on) or by comparing the
     windows that all shards have under the same keys."""
     for table in whole_groups(batches, "shard"):
         shard, kind = table.column("shard").to_numpy(), table.column("kind").to_numpy()
         known = table.filter(pa.array(kind == 0))
-        yield from known.select(["rk", "data"]).to_batches()
+        yield from known.select(["id", "rk", "data"]).to_batches()
         cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
         for x, y in zip(cuts[:-1], cuts[1:], strict=True):
             parts = [imported(table.column("data")[k].as_py()) for k in range(x, y) if kind[k] == 1]
@@ -505,10 +507,12 @@ def merged(meta: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
             best.setdefault(raw[at[k] : at[k] + WINDOW], ids[run[k]])
         for k in clash.tolist():
             gone[k] = ids[run[k]] > best[raw[at[k] : at[k] + WINDOW]]
-    row, place = rk[run[gone]], first[run[gone]] + step[gone]
+    docs, row = np.unique(np.stack([ids, rk], axis=1), axis=0, return_inverse=True)
+    row, place = row.ravel()[run[gone]], first[run[gone]] + step[gone]
     order = np.lexsort((place, row))
     got = list(_by_row(*ranges(row[order], place[order])))
-    return pa.RecordBatch.from_arrays([pa.array([r for r, _ in got], pa.int64()), pa.array([d for _, d in got], pa.binary())], ["rk", "data"])
+    own = docs[[r for r, _ in got]] if got else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(own[:, 0], pa.int64()), pa.array(own[:, 1], pa.int64()), pa.array([d for _, d in got], pa.binary())], ["id", "rk", "data"])
 
 
 def kept(text: bytes, starts: list[bytes]) -> tuple[bytes, int, int]:
@@ -541,9 +545,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     discard(shared)
     # windows meet in more, smaller shards than keys: a window is longer than a key
     found = prepared.where("keys IS NOT NULL").select("id", "rk", "t", "keys").mapInArrow(_sort_shards(4 * partitions), FOUND_DDL)
-    windows = written(found.repartition(partitions, "shard").sortWithinPartitions("shard").mapInArrow(_merge, "rk bigint, data binary"), "suffix-windows")
-    gone = windows.groupBy("rk").agg(F.collect_list("data").alias("gone"))
-    joined = prepared.join(gone, "rk", "left")
+    windows = written(found.repartition(partitions, "shard").sortWithinPartitions("shard").mapInArrow(_merge, "id bigint, rk bigint, data binary"), "suffix-windows")
+    gone = windows.groupBy("id", "rk").agg(F.collect_list("data").alias("gone"))
+    joined = prepared.join(gone, ["id", "rk"], "left")
 
     def finish(text: pa.Array, starts: pa.Array) -> pa.Array:
         out = [kept(encoded(x.as_py()), s.as_py()) for x, s in zip(text, starts, strict=True)]
