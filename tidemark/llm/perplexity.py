@@ -231,7 +231,7 @@ def train(trusted: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]
 
 
 def log_likelihoods(rows: DataFrame, model: Model, known: DataFrame, passes: int = 2) -> DataFrame:
-    """rk, gain: what known bigrams add, by document key. ``rows``: rk, t."""
+    """rk, rk2, gain: what known bigrams add, by document key (two hashes). ``rows``: rk, rk2, t."""
     spark = rows.sparkSession
     bits = _shard_bits(spark)
     down = np.uint64(2 * BITS - bits)
@@ -244,7 +244,7 @@ def log_likelihoods(rows: DataFrame, model: Model, known: DataFrame, passes: int
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rk = b.column("rk").to_numpy()
+                rk = np.stack([b.column("rk").to_numpy(), b.column("rk2").to_numpy()], axis=1)
                 seqs = [sequence(x.as_py()) for x in b.column("t")]
                 keys = [bigrams(s) if len(s) else s for s in seqs]
                 if not any(map(len, keys)):
@@ -278,22 +278,22 @@ def log_likelihoods(rows: DataFrame, model: Model, known: DataFrame, passes: int
                 if shard != at or not len(table):
                     continue
                 n = int(np.frombuffer(extra, "<u4", 1)[0])
-                rk, sizes = np.frombuffer(extra, "<i8", n, 4), np.frombuffer(extra, "<u4", n, 4 + 8 * n)
+                rk, sizes = np.frombuffer(extra, "<i8", 2 * n, 4).reshape(n, 2), np.frombuffer(extra, "<u4", n, 4 + 16 * n)
                 where = np.minimum(np.searchsorted(table, key), len(table) - 1)
                 gain = np.where(table[where] == key, gains(discount, unigram, rest[where], key, counts[where]), 0.0)
                 sums = np.add.reduceat(gain, np.cumsum(np.append(0, sizes[:-1])))
-                yield pa.RecordBatch.from_arrays([pa.array(rk), pa.array(sums)], ["rk", "gain"])
+                yield pa.RecordBatch.from_arrays([pa.array(rk[:, 0].copy()), pa.array(rk[:, 1].copy()), pa.array(sums)], ["rk", "rk2", "gain"])
 
     parts = None
     for number in range(passes):
         low, high = (number << bits) // passes, ((number + 1) << bits) // passes
-        asked = rows.select("rk", "t").mapInArrow(ask(number), "shard bigint, kind int, keys binary, counts binary")
+        asked = rows.select("rk", "rk2", "t").mapInArrow(ask(number), "shard bigint, kind int, keys binary, counts binary")
         mine = known.where((F.col("shard") >= low) & (F.col("shard") < high)).select("shard", F.lit(0).alias("kind"), "keys", "counts")
-        answered = mine.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(answer, "rk bigint, gain double")
-        part = written(answered.groupBy("rk").agg(F.sum("gain").alias("gain")), "perplexity-gains")
+        answered = mine.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(answer, "rk bigint, rk2 bigint, gain double")
+        part = written(answered.groupBy("rk", "rk2").agg(F.sum("gain").alias("gain")), "perplexity-gains")
         parts = part if parts is None else parts.unionByName(part)
     shared.destroy()
-    return parts.groupBy("rk").agg(F.sum("gain").alias("gain"))
+    return parts.groupBy("rk", "rk2").agg(F.sum("gain").alias("gain"))
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, text_col: str = "text", out: str = "__lm", quantile: float = 0.995, folds: int = 5, passes: int = 2) -> DataFrame:
@@ -305,9 +305,11 @@ def perplexities(docs: DataFrame, labels: DataFrame, text_col: str = "text", out
     trusted = written(docs.select("doc_id", text.alias("t")).join(good.where(~held).hint("merge"), "doc_id").select("t"), "perplexity-trusted")
     model, known = train(trusted, "t")
     discard(trusted)
-    keyed = docs.withColumn(f"{out}_rk", F.xxhash64("doc_id", text))
+    key = [f"{out}_rk", f"{out}_rk2"]
+    keyed = docs.withColumns({key[0]: F.xxhash64("doc_id", text), key[1]: F.xxhash64(F.lit(1), "doc_id", text)})
+    both = [F.col(key[0]).alias("rk"), F.col(key[1]).alias("rk2")]
     # rows that are equal would add their bigrams twice: their sums are divided by their number
-    gains = log_likelihoods(keyed.select(F.col(f"{out}_rk").alias("rk"), text.alias("t")), model, known, passes)
+    gains = log_likelihoods(keyed.select(*both, text.alias("t")), model, known, passes)
     ends, shared = model.ends(), spark.sparkContext.broadcast(model.local)
 
     def local(column: pa.Array) -> pa.Array:
@@ -317,17 +319,17 @@ def perplexities(docs: DataFrame, labels: DataFrame, text_col: str = "text", out
         ll = [float(values[s].sum(dtype=np.float64)) + ends if len(s) else None for s in inner]
         return pa.StructArray.from_arrays([pa.array([len(s) for s in inner], pa.int64()), pa.array(ll, pa.float64())], names=["n", "ll"])
 
-    own = keyed.select("doc_id", "lang", F.col(f"{out}_rk").alias("rk"), F.arrow_udf(local, "struct<n:bigint,ll:double>")(text).alias("b"))
-    own = own.groupBy("rk").agg(F.first("doc_id").alias("doc_id"), F.first("lang").alias("lang"), F.first("b").alias("b"), F.count(F.lit(1)).alias("rows"))
+    own = keyed.select("doc_id", "lang", *both, F.arrow_udf(local, "struct<n:bigint,ll:double>")(text).alias("b"))
+    own = own.groupBy("rk", "rk2").agg(F.first("doc_id").alias("doc_id"), F.first("lang").alias("lang"), F.first("b").alias("b"), F.count(F.lit(1)).alias("rows"))
     nats = F.col("b.ll") + F.coalesce("gain", F.lit(0.0)) / F.col("rows")
-    scored = written(own.join(gains.hint("merge"), "rk", "left").select("rk", "doc_id", "lang", F.col("b.n").alias("n"), F.exp(-nats / (F.col("b.n") + 1)).alias("ppl")), "perplexity-scored")
+    scored = written(own.join(gains.hint("merge"), ["rk", "rk2"], "left").select("rk", "rk2", "doc_id", "lang", F.col("b.n").alias("n"), F.exp(-nats / (F.col("b.n") + 1)).alias("ppl")), "perplexity-scored")
     calibration = scored.where(held & F.col("ppl").isNotNull()).join(good, "doc_id")
     # a row for each language
     by_lang = calibration.groupBy(F.col("lang").alias("l")).agg(F.percentile_approx("ppl", quantile, 10_000).alias("q"))
     overall = calibration.agg(F.percentile_approx("ppl", quantile, 10_000).alias("q")).first()["q"]
     limit = F.coalesce("q", F.lit(overall).cast("double"))
     judged = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").select(
-        F.col("rk").alias(f"{out}_rk"),
+        F.col("rk").alias(key[0]), F.col("rk2").alias(key[1]),
         F.struct(F.col("n").alias("n_words"), F.col("ppl").alias("perplexity"), limit.alias("threshold"), F.coalesce(F.col("ppl") <= limit, F.col("ppl").isNotNull()).alias("kept")).alias(out),
     )
-    return keyed.join(judged.hint("merge"), f"{out}_rk").drop(f"{out}_rk")
+    return keyed.join(judged.hint("merge"), key).drop(*key)
