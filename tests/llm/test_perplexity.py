@@ -103,6 +103,13 @@ def test_no_labels_and_empty_tables(spark):
     assert P.perplexities(empty(spark), lab).count() == 0
 
 
+def test_clashing_columns(spark):
+    d = docs(spark, [prose(60, k, 150) for k in range(30)]).withColumnRenamed("source", "rk").withColumnRenamed("n_chars", "gain").withColumn("t", F.lit(1))
+    lab = spark.createDataFrame([(k, 1) for k in range(30)], "doc_id long, quality int")
+    out = P.perplexities(d, lab)
+    assert out.columns[-1] == "__lm" and set(out.columns[:-1]) == set(d.columns) and all(r["__lm"].perplexity > 1 for r in out.collect())
+
+
 def test_packing():
     key = np.array([0, 1, (1 << 44) - 1, 12345678901], np.uint64)
     assert (P.unpacked(P.packed(key)) == key).all()

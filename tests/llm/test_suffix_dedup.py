@@ -107,3 +107,9 @@ def test_null_ids_empty_tables_and_kept_text(spark):
     got = {r.id: r for r in S.suffix_dedup(docs(spark, [("null", text), (1, text), (2, "own")]), keep_text=True).collect()}
     assert got[None].n_removed == 0 and got[1].n_removed == len(text.encode()) and bytes(got[1].kept) == b"" and bytes(got[2].kept) == b"own"
     assert S.suffix_dedup(empty(spark)).count() == 0
+
+
+def test_clashing_columns(spark):
+    text = prose(30, 1)
+    d = docs(spark, [(1, text), (2, text), (2, text)]).withColumnRenamed("lang", "rk").withColumnRenamed("source", "t").withColumnRenamed("n_chars", "id")
+    assert sorted((r.id, r.n_removed) for r in S.suffix_dedup(d).collect()) == [(1, 0), (2, len(text.encode())), (2, len(text.encode()))]

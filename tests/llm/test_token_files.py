@@ -65,7 +65,7 @@ def test_query_matches_the_library(spark):
 
 def test_nulls_repeats_and_empty(spark):
     path = shared_dir(spark, "t")
-    T.write_files(docs(spark, [("null", "b"), (5, "a"), (5, "a"), (4, None)]), path, PATH)
+    T.write_files(docs(spark, [("null", "b"), (5, "a"), (5, "a"), (4, None)]).withColumnRenamed("lang", "i").withColumnRenamed("source", "t"), path, PATH)
     got = sorted(T.read_digests(spark, path).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == [None, 4, 5, 5] and got[1].n_tokens == 1
     path = shared_dir(spark, "t")

@@ -18,8 +18,9 @@ A frame (one segment) is bytes, little-endian:
 The text parts of the frame that compress (document table, frequency table) are deflated together.
 Frames are kept as rows of Parquet files, whose writers commit whole files only and need no local disk.
 
-Defined cases: a null or empty text has the end token alone; a null doc_id sorts first; rows with equal
-doc_id follow by their text; an empty table gives files without frames.
+Defined cases: a null or empty text has the end token alone; a very long one is a segment of its own; a null
+doc_id sorts first; rows with equal doc_id follow by their text; an empty table gives files without frames.
+Files hold ids and tokens only, whatever other columns there are and however they are called.
 """
 
 from __future__ import annotations
