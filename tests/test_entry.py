@@ -18,7 +18,7 @@ def test_imports_without_the_text_subpackage(tmp_path):
 
     shutil.copytree(ROOT / "tidemark", tmp_path / "tidemark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; assert len(e.queries()) == 2 * 62 + 3 and len(e.oracle_sql()) == 2 * 62 + 1"
+    code = "import __spark_entry__ as e; assert len(e.queries()) == 2 * 62 + 4 and len(e.oracle_sql()) == 2 * 62 + 2"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
 
 

@@ -350,6 +350,23 @@ FROM lineitem GROUP BY ALL
 """
 
 
+def pair_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two series aligned by day, and their correlation."""
+    pair = sources.aligned(sources.daily(spark, sf_dir), "AF", "RF")
+    out = with_indicators(pair, [indicator("correl", inputs={"price": "price", "price2": "price2"})])
+    return out.select("symbol", "ts", "price", "price2", (F.round("correl_correl", 3) + F.lit(0.0)).alias("correl"))
+
+
+PAIR_CORRELATION = f"""
+WITH {BARS}, p AS (
+  SELECT x.ts, x.close AS price, y.close AS price2 FROM b x JOIN b y ON x.ts = y.ts WHERE x.symbol = 'AF' AND y.symbol = 'RF'
+), c AS (
+  SELECT *, count(*) OVER w AS n, covar_pop(price, price2) OVER w AS cov, stddev_pop(price) OVER w * stddev_pop(price2) OVER w AS dev FROM p WINDOW w AS (ORDER BY ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)
+)
+SELECT 'AF/RF' AS symbol, ts, price, price2, CASE WHEN n = 14 THEN round(cov / nullif(dev, 0), 3) + 0.0::DOUBLE END AS correl FROM c
+"""
+
+
 def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The SQL surface: the table function ``ta`` over daily bars."""
     register(spark)
@@ -364,10 +381,10 @@ EARLY = ("vegas", "ecl")
 
 def queries() -> dict[str, Query]:
     stepped = {f"{name}_inc": stepped_query(name) for name in CATALOG}
-    return {name: operator_query(name) for name in CATALOG} | stepped | {"candle_parts": candle_parts, "supplier_bars": supplier_bars, "table_function": table_function}
+    return {name: operator_query(name) for name in CATALOG} | stepped | {"candle_parts": candle_parts, "supplier_bars": supplier_bars, "pair_correlation": pair_correlation, "table_function": table_function}
 
 
 def oracle_sql() -> dict[str, str]:
     out = _simple_sql() | _recursive_sql()
     stepped = {f"{name}_inc": sql for name, sql in out.items() if name not in EARLY}
-    return out | stepped | {"candle_parts": CANDLE_PARTS, "supplier_bars": SUPPLIER_BARS, "table_function": out["rsi"]}
+    return out | stepped | {"candle_parts": CANDLE_PARTS, "supplier_bars": SUPPLIER_BARS, "pair_correlation": PAIR_CORRELATION, "table_function": out["rsi"]}

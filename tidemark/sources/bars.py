@@ -45,3 +45,10 @@ def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = spark.read.parquet(f"{sf_dir}/events.parquet")
     hour = F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm")
     return bars(t, F.col("event_type"), hour, F.col("value"), F.lit(1.0), [F.col("ts"), F.col("event_id")])
+
+
+def aligned(bars: DataFrame, first: str, second: str, column: str = "close") -> DataFrame:
+    """Two series of the bars side by side, at the times that both have, for operators on pairs: symbol
+    ("first/second"), ts, price, price2. Each side is filtered before the join."""
+    left, right = (bars.where(F.col("symbol") == s).select("ts", F.col(column).alias(n)) for s, n in ((first, "price"), (second, "price2")))
+    return left.join(right, "ts").select(F.lit(f"{first}/{second}").alias("symbol"), "ts", "price", "price2")
