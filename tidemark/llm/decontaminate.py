@@ -44,19 +44,21 @@ def _bitmap(words: DataFrame) -> np.ndarray:
 
 
 class Marked:
-    """Which words a bitmap may hold, remembered up to a bound."""
+    """The words met so far that a bitmap may hold, remembered up to a bound."""
 
     def __init__(self, bitmap: np.ndarray, most: int = 400_000):
-        self.bitmap, self.most, self.known = bitmap, most, {}
+        self.bitmap, self.most, self.known, self.held = bitmap, most, set(), set()
 
-    def __call__(self, words: list[bytes]) -> list[bool]:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        for w in set(words) - known.keys():
+    def __call__(self, words: list[bytes]) -> set[bytes]:
+        if len(self.known) > self.most:
+            self.known, self.held = set(), set()
+        new = set(words).difference(self.known)
+        for w in new:
             at = xxhash.xxh64_intdigest(w, seed=42) % BITS
-            known[w] = bool(self.bitmap[at >> 3] >> (at & 7) & 1)
-        return list(map(known.__getitem__, words))
+            if self.bitmap[at >> 3] >> (at & 7) & 1:
+                self.held.add(w)
+        self.known |= new
+        return self.held
 
 
 def _windows(items: DataFrame, item_id: str, item_text: str, width: int) -> DataFrame:
@@ -93,7 +95,7 @@ def _counts(docs: DataFrame, text: Column, bitmap: np.ndarray) -> DataFrame:
         for b in batches:
             for x in b.column(0):
                 words = ascii_words(x.as_py())
-                total.update(w for w, ok in zip(words, marked(words), strict=True) if ok)
+                total.update(filter(marked(words).__contains__, words))
             if len(total) > 200_000:
                 yield out()
         yield out()
@@ -123,7 +125,8 @@ def _places(docs: DataFrame, key: Column, text: Column, bitmap: np.ndarray, widt
         for x in texts:
             words = ascii_words(x.as_py())
             at = []
-            for p in [p for p, ok in enumerate(marked(words)) if ok]:
+            held = marked(words)
+            for p in [p for p, w in enumerate(words) if w in held]:
                 first = max(0, p - width + 1)
                 at.append({"p": p, "token": words[p].decode(), "around": b" ".join(words[first : p + width]).decode(), "k": p - first})
             rows.append((len(words), at))
