@@ -70,7 +70,7 @@ class Parts:
             self.forget()
         words = [ascii_words(x.lower()) if x else [] for x in texts]
         flat = [w for own in words for w in own]
-        if new := set(flat) - self.number.keys():
+        if new := set(flat).difference(self.number):
             self.learn(new)
         number = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
         count = self.count[number]
@@ -118,12 +118,27 @@ class Sparse:
     def __len__(self) -> int:
         return len(self.starts) - 1
 
+    def pieces(self, most: int = 1_000_000) -> Iterator[tuple[int, int, slice]]:
+        """Ranges of rows with some ``most`` features, so that no step needs more memory than a range does."""
+        a = 0
+        while a < len(self):
+            b = max(a + 1, int(np.searchsorted(self.starts, self.starts[a] + most, side="right")) - 1)
+            yield a, b, slice(int(self.starts[a]), int(self.starts[b]))
+            a = b
+
     def dot(self, w: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0.0], np.cumsum(self.values * w[self.places], dtype=np.float64)])
-        return sums[self.starts[1:]] - sums[self.starts[:-1]]
+        out = np.empty(len(self))
+        for a, b, own in self.pieces():
+            sums = np.concatenate([[0.0], np.cumsum(self.values[own] * w[self.places[own]], dtype=np.float64)])
+            at = self.starts[a : b + 1] - own.start
+            out[a:b] = sums[at[1:]] - sums[at[:-1]]
+        return out
 
     def back(self, r: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.places, self.values * np.repeat(r, np.diff(self.starts)), size)
+        out = np.zeros(size)
+        for a, b, own in self.pieces():
+            out += np.bincount(self.places[own], self.values[own] * np.repeat(r[a:b], np.diff(self.starts[a : b + 1])), size)
+        return out
 
 
 def risk_and_gradient(positive: Sparse, unlabelled: Sparse, prior: float, w: np.ndarray) -> tuple[float, float, np.ndarray]:
@@ -204,7 +219,7 @@ def learn(docs: DataFrame, labels: DataFrame, learning: Column | None = None, ma
     if not all(s.any() for s in sides):
         return Model(float(np.log(prior / (1 - prior))), np.zeros(DIMENSIONS))
     # in an order of their own, so that sums do not depend on how rows were dealt
-    order = sorted(range(len(ends) - 1), key=lambda k: places[ends[k] : ends[k + 1]].tobytes())
+    order = sorted(range(len(ends) - 1), key=lambda k: xxhash.xxh3_128_digest(places[ends[k] : ends[k + 1]].tobytes()))
 
     def of(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = [places[ends[k] : ends[k + 1]] for k in order if side[k]]
@@ -219,7 +234,9 @@ def learn(docs: DataFrame, labels: DataFrame, learning: Column | None = None, ma
         some = value[at] > 0
         return Sparse(np.concatenate([[0], np.cumsum(some)])[starts], at[some], value[at[some]])
 
-    bias, weights = train(sparse(start_p, place_p), sparse(start_u, place_u), prior, DIMENSIONS)
+    of_p, of_u = sparse(start_p, place_p), sparse(start_u, place_u)
+    del rows, lists, places, place_p, place_u
+    bias, weights = train(of_p, of_u, prior, DIMENSIONS)
     return Model(bias, weights * value)
 
 
