@@ -2,7 +2,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from tidemark.llm.common import clear, discard, row_key, shared_dir, written
+from tidemark.llm.common import clear, discard, holding, row_key, shared_dir, written
 
 
 def session(master, folder=None):
@@ -49,3 +49,11 @@ def test_settings_come_back_after_tables_written_together(spark):
 def test_row_keys(spark):
     rows = spark.createDataFrame([(1, "a"), (1, None), (None, "a"), (2, "a"), (1, "a")], "i long, t string").select(row_key("i", "t").alias("k")).collect()
     assert all(len(r.k) == 16 for r in rows) and len({bytes(r.k) for r in rows}) == 4
+
+
+def test_one_operator_remembers_at_a_time():
+    gone = []
+    for name in ("a", "a", "b", "a"):
+        holding(name, lambda name=name: gone.append(name))
+    assert gone == ["a", "b"]
+    holding("", lambda: None)

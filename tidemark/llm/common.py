@@ -6,7 +6,7 @@ import contextlib
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -108,6 +108,18 @@ def clear(spark: SparkSession) -> None:
         _remove(spark, path)
 
 
+#: The operator whose memory this process holds, and how to forget it.
+_holder: list = ["", lambda: None]
+
+
+def holding(name: str, forget: Callable[[], object]) -> None:
+    """To be called by an operator that remembers things between batches of a Python worker: workers serve one
+    stage after another, and what another operator has remembered goes."""
+    if _holder[0] != name:
+        _holder[1]()
+    _holder[:] = [name, forget]
+
+
 def row_key(*columns: Column) -> Column:
     """16 bytes that stand for a row: two hashes, as one of 64 bits would not tell 10**10 rows apart."""
     return F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(n), *columns)), 16, "0") for n in (0, 1)]))

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_words, discard, row_key, written
+from tidemark.llm.common import ascii_words, discard, holding, row_key, written
 from tidemark.llm.components import components
 from tidemark.llm.license_scan import Hashes, grams
 
@@ -113,6 +113,7 @@ def _signed(docs: DataFrame, identity: Column, text: Column, width: int) -> Data
     """id, rk (key of the row), c (class; null: no words), n (shingles), labels, bits of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("jaccard join", _hashes.known.clear)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 rows = b.slice(at, 1000)
@@ -374,6 +375,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     picked = written(picked.join(written(sizes, "jaccard-sizes").hint("merge"), "comp").select("rk", "c", "comp", "nb"), "jaccard-picked")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("jaccard join", _hashes.known.clear)
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)

@@ -42,12 +42,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import structs
+from tidemark.llm.common import holding, structs
 
 SPACE = "▁"
 _UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 _NONE = np.int32(1 << 30)
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 3_000_000
 TABLE = 1 << 20
 #: Longer units go by the agenda; places within others fit 7 bits.
 LONG = 64
@@ -147,7 +147,7 @@ class Pieces:
 
 
 class Encoder:
-    def __init__(self, pieces: Pieces, seed: int = 7, dropout: float = 0.1, most: int = 1_000_000):
+    def __init__(self, pieces: Pieces, seed: int = 7, dropout: float = 0.1, most: int = 400_000):
         if not 0 <= dropout <= 1:
             raise ValueError("dropout is a probability")
         self.pieces, self.seed, self.dropout, self.most = pieces, seed, dropout, most
@@ -396,7 +396,7 @@ class Encoder:
         place = np.arange(len(units)) - np.repeat(ends[:-1], sizes)
         key = mixed(np.repeat(np.array(owners, np.int64).view(U), sizes), place.astype(U))
         if self.dropout:
-            step = 300_000
+            step = 100_000
             number = np.concatenate([np.zeros(0, np.int64), *(self.decided(number[k : k + step], key[k : k + step]) for k in range(0, len(units), step))])
         else:
             number[self.long[number]] = -1
@@ -456,6 +456,7 @@ def encode_docs(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         ddl += ",ids:array<int>"
 
     def run(text: pa.Array, variant: pa.Array) -> pa.Array:
+        holding("piece dropout", _loaded.clear)
         enc = encoder(path, seed, dropout)
         encode = enc.encode_placed if variants is None else enc.encode
         columns: list[list] = [[] for _ in fields]
