@@ -186,7 +186,7 @@ def quality() -> str:
     bad = {k: f"greatest(0.001, 1 - {good[k]}, least(0.999, (sum(CASE WHEN v{k} < 0 THEN m * (1 - p) ELSE 0 END) + {START_BAD * 100}) / (sum(CASE WHEN v{k} <> 0 THEN m * (1 - p) ELSE 0 END) + 100)))" for k in range(n)}
     new = ", ".join(f"{good[k]}, {bad[k]}" for k in range(n))
     start = f"{START_PRIOR}::DOUBLE, " + ", ".join(f"{START_GOOD}::DOUBLE, {START_BAD}::DOUBLE" for _ in range(n))
-    return f"""
+    return rf"""
 WITH RECURSIVE d AS MATERIALIZED (
   SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
 ), grams AS (
