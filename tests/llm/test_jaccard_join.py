@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import docs, empty, words
+from tidemark.llm import components as components_module
 from tidemark.llm import jaccard_join as J
-from tidemark.llm.common import ascii_words
+from tidemark.llm.common import ascii_words, written
 from tidemark.llm.components import components
 
 
@@ -179,3 +180,27 @@ def test_components(spark):
 def test_pairs_are_never_rows(spark):
     plan = J.jaccard_groups(docs(spark, rows())).select(F.sum("n_links"))._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_few_edges_take_few_jobs(spark):
+    """Rounds of stars over a handful of edges are stages without work: on 211 partitions they took most of the time."""
+    edges = written(spark.createDataFrame([(k, k + 1) for k in range(300)], "a long, b long").repartition(7), "edges")
+    made = []
+    context = spark.sparkContext
+    context.setJobGroup("few edges", "")
+    try:
+        got = components(edges).collect()
+        made = context.statusTracker().getJobIdsForGroup("few edges")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.v: r.root for r in got} == dict.fromkeys(range(301), 0) and len(got) == 301
+    assert len(made) <= 8
+
+
+def test_components_of_more_edges_than_a_task_holds(spark, monkeypatch):
+    """Local forests, then rounds: the same as in one task."""
+    r = random.Random(8)
+    edges = spark.createDataFrame([(bytes([r.randrange(16), r.randrange(16)]), bytes([r.randrange(16), r.randrange(16)])) for _ in range(220)], "a binary, b binary").repartition(5)
+    small = sorted((bytes(x.v), bytes(x.root)) for x in components(edges).collect())
+    monkeypatch.setattr(components_module, "LOCAL", 20)
+    assert sorted((bytes(x.v), bytes(x.root)) for x in components(edges).collect()) == small and len({x for _, x in small}) > 3

@@ -340,12 +340,12 @@ def _walk(tries: DataFrame, least: int, most: int) -> DataFrame:
         mixed = written(sizes.select(*node, F.col("top.comp").alias("most"), *blocks), "jaccard-mixed")
         if mixed.take(1):
             rows = own.join(mixed.hint("merge"), node).withColumn("of", F.xxhash64(F.lit(5), "c"))
-            kept = ["g", "asks", "comp", "c", "bits"]
             # those outside the largest component meet each block of all; all meet each block of those
-            asking = rows.where("comp <> most").withColumn("x", F.pmod("of", "na")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("asks", F.lit(True))
-            asked = rows.withColumn("y", F.pmod("of", "nb")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("asks", F.lit(False))
-            dealt = [t.withColumn("g", F.xxhash64(*node, F.col("x").cast("int"), F.col("y").cast("int"))).select(*kept) for t in (asking, asked)]
-            edges = dealt[0].unionByName(dealt[1]).repartition("g").sortWithinPartitions("g").mapInArrow(_near_edges(most), "a binary, b binary")
+            dealt = F.expr("""explode(concat(
+                if(comp <> most, transform(sequence(0, nb - 1), y -> struct(cast(pmod(of, na) as int) AS x, y AS y, true AS asks)), array()),
+                transform(sequence(0, na - 1), x -> struct(x AS x, cast(pmod(of, nb) as int) AS y, false AS asks))))""")
+            dealt = rows.select(*node, "comp", "c", "bits", dealt.alias("p")).select(F.xxhash64(*node, "p.x", "p.y").alias("g"), "p.asks", "comp", "c", "bits")
+            edges = dealt.repartition("g").sortWithinPartitions("g").mapInArrow(_near_edges(most), "a binary, b binary")
             new = written(components(edges.unionByName(found.select(F.col("v").alias("a"), F.col("root").alias("b")))), "jaccard-walk")
             discard(found)
             found = new
