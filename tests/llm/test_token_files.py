@@ -71,3 +71,27 @@ def test_nulls_repeats_and_empty(spark):
     path = shared_dir(spark, "t")
     T.write_files(empty(spark), path, PATH)
     assert T.read_digests(spark, path).count() == 0
+
+
+def test_a_word_is_encoded_once():
+    """Whatever its case and the marks after it: the library isn't asked again for a word that it has seen."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    known = T.WordCached(PATH)
+    known(["unheardof wörtlich . , ,! ªºµß"])
+    known.library = None
+    again = ["Unheardof, UNHEARDOF. WÖRTLICH,! wörtlich", "ªºµß. Wörtlich"]
+    assert [np.frombuffer(x, "<u2").tolist() for x in known(again)] == [t.encode(x, add_special_tokens=False).ids for x in again]
+
+
+def test_odd_words_match_the_library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    r = random.Random(5)
+    texts = [" ".join("".join(r.choice("abzAZ'.,!é\u00c9µßªº×9_#\u0301Σİ|<>") for _ in range(r.randrange(0, 9))) for _ in range(40)) for _ in range(300)]
+    texts += ["<|ENDOFTEXT|> <|endoftext|>, a<|startoftext|>b", "I'LL don't 'S, x.", "endoftext startoftext."]
+    known = T.WordCached(PATH)
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u2").tolist() for x in known(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]

@@ -188,53 +188,85 @@ class WordCached:
         if whole and any(w.endswith(suffix) for w in words):
             self.is_end = np.zeros(1 << 16, bool)
             self.is_end[[i for w, i in words.items() if w.endswith(suffix)]] = True
+        # whether letters below U+0100, whose case depends on no other, become small ones
+        letters = [chr(c) for c in range(256) if chr(c).isalpha()]
+        normalise = self.library.normalizer
+        self.lowers = normalise is not None and all(normalise.normalize_str(c) == c.lower() for c in letters)
+        # whether a word of a-z reaches the model as it stands: it is whole, and no added token is part of one
+        az, split = "abcdefghijklmnopqrstuvwxyz", self.library.pre_tokenizer
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.direct = self.lowers and split is not None and split.pre_tokenize_str(az) == [(az, (0, 26))] and not any(t.isalpha() for t in added)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.most:
             self.known = {}
         get = self.known.get
-        found = []
+        found: list[bytes | tuple[list, dict[int, str]]] = []
         new: set[str] = set()
         for x in texts:
             pieces = x.replace("\n", " ").split(" ")
             ids = list(map(get, pieces))
-            missed = None in ids
-            if missed:
-                new.update([p for p, i in zip(pieces, ids, strict=True) if i is None])
-            found.append(pieces if missed else b"".join(ids))
+            try:
+                found.append(b"".join(ids))
+            except TypeError:  # None: pieces not yet known
+                missed = {k: pieces[k] for k, i in enumerate(ids) if i is None}
+                new.update(missed.values())
+                found.append((ids, missed))
         self._learn(new)
-        get = self.known.__getitem__
-        return [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in found]
+        out = []
+        for x in found:
+            if not isinstance(x, bytes):
+                ids, missed = x
+                for k, p in missed.items():
+                    ids[k] = self.known[p]
+                x = b"".join(ids)
+            out.append(x)
+        return out
 
     def _learn(self, new: set[str]) -> None:
-        """Pieces that are words, marks, or words and marks are encoded as one text, whose ids are parted
-        again at the ends of words; others one by one."""
-        plain: list[str] = []
-        ends: list[int] = []
+        """Pieces that are words, marks, or words and marks have the ids of both, one after the other. Words (in
+        lower case, if the vocabulary makes no difference) and marks are encoded as one text, whose ids are
+        parted again at the ends of words; other pieces one by one."""
+        known, stops, lowers = self.known, self.STOPS, self.lowers
+        parted: list[str] = []
+        words: list[str] = []
+        marked: list[str] = []
         odd: list[str] = []
-        for p in new:
-            word = p.rstrip(self.STOPS)
-            if p and (not word or word.isalpha()) and max(p) < "\u0100":
-                plain.append(p)
-                ends.append((len(word) > 0) + (len(word) < len(p)))
+        for p in new if self.is_end is not None else ():
+            word = p if p.isalpha() else p.rstrip(stops)
+            if p and (not word or word.isalpha()) and (p.isascii() or max(p) < "\u0100"):
+                parted.append(p)
+                words.append(word.lower() if lowers else word)
+                marked.append(p[len(word) :])
             else:
                 odd.append(p)
         if self.is_end is None:
-            odd, plain = odd + plain, []
-        for k in range(0, len(plain), 20_000):
-            part, count = plain[k : k + 20_000], np.cumsum(ends[k : k + 20_000])
+            odd = list(new)
+        plain = [w for w in {*words, *marked} if w and w not in known]
+        if self.direct and plain:
+            model = self.library.model.tokenize
+            for w in plain:
+                if w.isascii() and w.isalpha():
+                    known[w] = array("H", [t.id for t in model(w)]).tobytes()
+            plain = [w for w in plain if w not in known]
+        for k in range(0, len(plain), 2000):
+            part = plain[k : k + 2000]
             ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u2")
-            stops = np.flatnonzero(self.is_end[ids]) + 1
-            if len(stops) != count[-1]:
+            cuts = (2 * (np.flatnonzero(self.is_end[ids]) + 1)).tolist()
+            if len(cuts) != len(part):
                 odd += part
                 continue
-            cuts = [0, *(2 * stops[count - 1]).tolist()]
             data = ids.tobytes()
-            self.known.update(zip(part, [data[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+            known.update(zip(part, [data[x:y] for x, y in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
         for k in range(0, len(odd), 20_000):
             part = odd[k : k + 20_000]
             for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[p] = array("H", e.ids).tobytes()
+                known[p] = array("H", e.ids).tobytes()
+        for p, word, marks in zip(parted, words, marked, strict=True):
+            if not marks:
+                known[p] = known[word]
+            else:
+                known[p] = known[word] + known[marks] if word else known[marks]
 
 
 _tokenisers: dict[str, WordCached] = {}
