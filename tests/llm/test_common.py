@@ -57,3 +57,44 @@ def test_one_operator_remembers_at_a_time():
         holding(name, lambda name=name: gone.append(name))
     assert gone == ["a", "b"]
     holding("", lambda: None)
+
+
+def test_workers_forget_other_operators(spark):
+    """In a worker, too: what it runs is a copy of the operator's code, what remembers is the module."""
+    import public_tokenizers
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.jaccard_join import jaccard_groups
+    from tidemark.llm.piece_dropout import encode_docs
+
+    def left(batches):
+        from tidemark.llm import common, jaccard_join, piece_dropout
+
+        common.holding("another", lambda: None)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(piece_dropout._loaded) + len(jaccard_join._hashes.known)] * b.num_rows, pa.int32())], ["n"])
+
+    docs = spark.createDataFrame([(k, f"some words of text {k}") for k in range(40)], "doc_id long, text string").repartition(8)
+    ask = spark.range(400).repartition(16)
+    for out in (encode_docs(docs, public_tokenizers.path("piece_bpe_32k.model")), jaccard_groups(docs)):
+        out.write.format("noop").mode("overwrite").save()
+        assert ask.mapInArrow(left, "n int").agg(F.max("n")).first()[0] == 0
+    clear(spark)
+
+
+def test_idle_workers_forget(monkeypatch):
+    import time
+
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "IDLE_SECONDS", 0.2)
+    gone = []
+    holding("a", lambda: gone.append("a"))
+    common.give_back()
+    holding("a", lambda: gone.append("a"))  # busy again
+    time.sleep(0.5)
+    assert gone == []
+    common.give_back()
+    time.sleep(0.5)
+    assert gone == ["a"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import threading
 import uuid
@@ -110,14 +111,46 @@ def clear(spark: SparkSession) -> None:
 
 #: The operator whose memory this process holds, and how to forget it.
 _holder: list = ["", lambda: None]
-
-
-def holding(name: str, forget: Callable[[], object]) -> None:
-    """To be called by an operator that remembers things between batches of a Python worker: workers serve one
-    stage after another, and what another operator has remembered goes."""
-    if _holder[0] != name:
-        _holder[1]()
-    _holder[:] = [name, forget]
+#: How often ``holding`` was called here, which tells idle workers from busy ones.
+_turn = [0]
+_idle = threading.Lock()
+IDLE_SECONDS = 5
+
+
+def holding(name: str, forget: Callable[[], object] = lambda: None) -> None:
+    """To be called by whatever runs in a Python worker, with how to forget what it remembers between batches:
+    workers serve one stage after another, and what another operator has remembered goes. ``forget`` must be a
+    function of a module: what else a worker gets is a copy, made with the code that it runs."""
+    with _idle:
+        _turn[0] += 1
+        if _holder[0] != name:
+            _holder[1]()
+            _trim()
+        _holder[:] = [name, forget]
+
+
+def give_back() -> None:
+    """To be called at the end of what began with ``holding``: what it has freed goes back to the system, and so
+    does what it remembers if no more comes for some seconds, as an executor has more workers than cores."""
+    _trim()
+    turn = _turn[0]
+
+    def late() -> None:
+        with _idle:
+            if _turn[0] == turn:
+                _holder[1]()
+                _holder[:] = ["", lambda: None]
+                _trim()
+
+    timer = threading.Timer(IDLE_SECONDS, late)
+    timer.daemon = True
+    timer.start()
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def row_key(*columns: Column) -> Column:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, written
+from tidemark.llm.common import discard, give_back, holding, written
 
 #: Edges that a task holds at once.
 LOCAL = 500_000
@@ -48,6 +48,7 @@ def stars(edges: pa.Table) -> pa.Table:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    holding("components")
     held: list[pa.RecordBatch] = []
     for b in batches:
         if sum(x.num_rows for x in held) + b.num_rows > LOCAL:
@@ -57,6 +58,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(b)
     if held:
         yield from stars(pa.Table.from_batches(held)).to_batches()
+    give_back()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_words, discard, row_key, written
+from tidemark.llm.common import ascii_words, discard, give_back, holding, row_key, written
 
 BITS = 1 << 24
 
@@ -84,6 +84,7 @@ def _counts(docs: DataFrame, text: Column, bitmap: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("decontaminate")
         marked = Marked(shared.value)
         total: Counter[bytes] = Counter()
 
@@ -99,6 +100,8 @@ def _counts(docs: DataFrame, text: Column, bitmap: np.ndarray) -> DataFrame:
             if len(total) > 200_000:
                 yield out()
         yield out()
+        del marked
+        give_back()
 
     return docs.select(text.alias("t")).mapInArrow(run, "w string, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
 
@@ -120,6 +123,7 @@ def _places(docs: DataFrame, key: Column, text: Column, bitmap: np.ndarray, widt
 
     @F.arrow_udf(ddl)
     def find(texts: pa.Array) -> pa.Array:
+        holding("decontaminate")
         marked = Marked(shared.value)
         rows = []
         for x in texts:
@@ -130,7 +134,10 @@ def _places(docs: DataFrame, key: Column, text: Column, bitmap: np.ndarray, widt
                 first = max(0, p - width + 1)
                 at.append({"p": p, "token": words[p].decode(), "around": b" ".join(words[first : p + width]).decode(), "k": p - first})
             rows.append((len(words), at))
-        return pa.StructArray.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array([a for _, a in rows], pa.list_(place))], names=["n_words", "at"])
+        out = pa.StructArray.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array([a for _, a in rows], pa.list_(place))], names=["n_words", "at"])
+        del marked
+        give_back()
+        return out
 
     return written(docs.select(key.alias("d"), find(text).alias("f")).select("d", "f.n_words", "f.at"), "leak-places")
 

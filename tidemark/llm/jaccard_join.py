@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_words, discard, holding, row_key, written
+from tidemark.llm.common import ascii_words, discard, give_back, holding, row_key, written
 from tidemark.llm.components import components
 from tidemark.llm.license_scan import Hashes, grams
 
@@ -74,6 +74,10 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(grams(words, min(width, len(words)), _hashes))
 
 
+def forget() -> None:
+    _hashes.known.clear()
+
+
 def class_key(s: np.ndarray) -> bytes:
     """16 bytes that stand for a set of shingles."""
     u = s.view(np.uint64)
@@ -113,7 +117,7 @@ def _signed(docs: DataFrame, identity: Column, text: Column, width: int) -> Data
     """id, rk (key of the row), c (class; null: no words), n (shingles), labels, bits of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        holding("jaccard join", _hashes.known.clear)
+        holding("jaccard join", forget)
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 rows = b.slice(at, 1000)
@@ -130,6 +134,7 @@ def _signed(docs: DataFrame, identity: Column, text: Column, width: int) -> Data
                     ],
                     ["id", "rk", "c", "n", "labels", "bits"],
                 )
+        give_back()
 
     id_type = docs.select(identity.alias("id")).schema[0].dataType.simpleString()
     return docs.select(identity.alias("id"), row_key(identity, text).alias("rk"), text.alias("t")).mapInArrow(
@@ -189,6 +194,7 @@ def _near_first(most: int):  # noqa: ANN202
     """Edges (a, b) between members and the first of their node, with ``most`` unequal bits or fewer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("jaccard walk")
         for batch in batches:
             near = np.bitwise_count(_packed(batch.column("bits")) ^ _packed(batch.column("first_bits"))).sum(axis=1) <= most
             yield batch.select(["c", "first"]).filter(pa.array(near)).rename_columns(["a", "b"])
@@ -201,6 +207,7 @@ def _near_edges(most: int):  # noqa: ANN202
     ``asks`` marks the rows that are compared with the others of their group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("jaccard walk")
         for table in whole_groups(batches, "g"):
             g, asks = table.column("g").to_numpy(), table.column("asks").to_numpy()
             comp, c = _codes(table.column("comp")), table.column("c").to_pylist()
@@ -218,6 +225,7 @@ def _near_edges(most: int):  # noqa: ANN202
                     a.append(c[start + v])
                     b.append(c[start + int(groups.label[v])])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        give_back()
 
     return run
 
@@ -252,6 +260,7 @@ def _links(numerator: int, denominator: int):  # noqa: ANN202
     shingles less what either lost, and what they differ in alike, are common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("jaccard links")
         for table in whole_groups(batches, "g"):
             # a row that comes twice brings its class twice
             first = np.unique(np.stack([table.column("g").to_numpy(), _codes(table.column("c"))], axis=1), axis=0, return_index=True)[1]
@@ -283,6 +292,7 @@ def _links(numerator: int, denominator: int):  # noqa: ANN202
                 links += count.tolist()
                 root_of += [c[start + int(k)] for k in groups.label]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), pa.array(links, pa.int64()), pa.array(root_of, pa.binary())], ["c", "links", "root"])
+        give_back()
 
     return run
 
@@ -375,7 +385,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     picked = written(picked.join(written(sizes, "jaccard-sizes").hint("merge"), "comp").select("rk", "c", "comp", "nb"), "jaccard-picked")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        holding("jaccard join", _hashes.known.clear)
+        holding("jaccard join", forget)
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
@@ -385,6 +395,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 flat = np.concatenate([found[k] for k in right]) if right else np.zeros(0, np.int64)
                 kept = part.take(pa.array(right, pa.int32()))
                 yield pa.RecordBatch.from_arrays([kept.column("c"), kept.column("comp"), kept.column("nb"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["c", "comp", "nb", "s"])
+        give_back()
 
     texts = docs.select(row_key(identity, text).alias("rk"), text.alias("t")).join(picked.hint("merge"), "rk")
     payload = written(texts.mapInArrow(sets, "c binary, comp binary, nb int, s array<bigint>"), "jaccard-sets")

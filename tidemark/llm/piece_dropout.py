@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import holding, structs
+from tidemark.llm.common import give_back, holding, structs
 
 SPACE = "▁"
 _UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
@@ -441,6 +441,10 @@ def encoder(path: str, seed: int, dropout: float) -> Encoder:
     return _loaded[key]
 
 
+def forget() -> None:
+    _loaded.clear()
+
+
 def variant_of(identity: Column, seed: int, variants: int | None) -> Column:
     h = F.xxhash64(F.lit(seed), F.coalesce(identity.cast("string"), F.lit("0")))
     return h if variants is None else F.pmod(h, F.lit(variants)).cast("int")
@@ -456,7 +460,7 @@ def encode_docs(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         ddl += ",ids:array<int>"
 
     def run(text: pa.Array, variant: pa.Array) -> pa.Array:
-        holding("piece dropout", _loaded.clear)
+        holding("piece dropout", forget)
         enc = encoder(path, seed, dropout)
         encode = enc.encode_placed if variants is None else enc.encode
         columns: list[list] = [[] for _ in fields]
@@ -475,8 +479,11 @@ def encode_docs(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         if keep_ids:
             ends = np.cumsum([0, *map(len, columns[3])], dtype=np.int32)
             flat = np.concatenate(columns[3]) if columns[3] else np.zeros(0, np.int32)
-            arrays = [pa.array(c, t) for c, (_, t) in zip(columns[:3], fields, strict=False)] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            del columns[3:]
+            arrays = [pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=False)] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            give_back()
             return pa.StructArray.from_arrays(arrays, names=[n for n, _ in fields])
+        give_back()
         return structs(pa.struct(fields), columns)
 
     v = variant_of(F.col(f"`{id_col}`"), seed, variants)

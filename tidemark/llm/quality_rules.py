@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import encoded, structs, written
+from tidemark.llm.common import encoded, give_back, holding, structs, written
 
 BAD, ABSTAIN, GOOD = 0, 1, 2
 
@@ -114,8 +114,11 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 
 def _features(text: pa.Array) -> pa.Array:
+    holding("quality rules")
     rows = [measure(x.as_py()) for x in text]
-    return structs(FEATURES, list(zip(*rows, strict=True)) if rows else [[]] * len(FEATURES))
+    out = structs(FEATURES, list(zip(*rows, strict=True)) if rows else [[]] * len(FEATURES))
+    give_back()
+    return out
 
 
 def features(text: Column) -> Column:
@@ -219,7 +222,8 @@ def learn(table: DataFrame, out: str = "__quality", rules: tuple[Rule, ...] = RU
 def score(table: DataFrame, model: Model, out: str = "__quality") -> DataFrame:
     """What ``measured`` has written, with ``posterior``, ``base_failed`` and ``kept`` in struct ``out``."""
     spark = table.sparkSession
-    known = spark.createDataFrame(list(model.posterior.items()), f"`{out}_p` int, `{out}_post` double")
+    # as an Arrow table, which takes no Python workers of another kind
+    known = spark.createDataFrame(pa.table({f"{out}_p": pa.array(model.posterior, pa.int32()), f"{out}_post": pa.array(model.posterior.values(), pa.float64())}))
     f = f"`{out}`"
     failed = F.expr(f"{f}.n_words < 50 OR 100 * {f}.n_repeat_words > 50 * {f}.n_words")
     posterior = F.coalesce(F.col(f"{out}_post"), F.lit(model.prior))
